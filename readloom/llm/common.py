@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -47,7 +49,10 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/readloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files of the plan that ended
+    for _ in range(2):  # Spark drops the shuffle files of plans that neither side holds any more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)  # its listeners hold a plan for a moment after its end
     out = spark.read.schema(df.schema).parquet(where)
     out._readloom_path = where
     atexit.register(_quietly, spark, where)

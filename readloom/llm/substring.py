@@ -249,6 +249,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = index or FingerprintIndex(docs.sparkSession, k=k)
     marks = index.add(docs, id_col, text_col, history)
     per = marks.groupBy(F.col("id").alias("__mid"), F.col("k").alias("__mk")).agg(F.collect_set(F.struct("at", "mask")).alias("__marks"))
+    per = written(per, "marks")
     full = docs.withColumn("__k", text_key(F.col(text_col)))
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
     joined = full.join(per, full[id_col].eqNullSafe(per["__mid"]) & (full["__k"] == per["__mk"]), "left")
