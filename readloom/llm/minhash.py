@@ -176,6 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             mixed = at.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a != z").select("band", "key")
             at = written(at.join(mixed, ["band", "key"]), "mixed")
+            if at.isEmpty():  # no bucket holds two components
+                break
             if turn < rounds:
                 hubs = at.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node"), "node", "label")).alias("h")).select("band", "key", F.col("h.node").alias("hub"), F.col("h.label").alias("other"))
                 pairs = at.join(hubs, ["band", "key"]).filter("label != other")
