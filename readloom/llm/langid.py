@@ -152,7 +152,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score, ambiguous) and the columns ``keep``, a row for each document."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # of fixed size
-    extra = [c for c in keep if c != id_col]
+    extra = [c for c in keep if c not in (id_col, text_col)]
+    texts = text_col in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -170,10 +171,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     pred = np.where(some, np.array(m.languages, object)[best], UNKNOWN)
                     score = np.where(some, np.clip(top[:, -1], 0, 1), 0.0)
                     unsure = some & (gap < AMBIGUOUS)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(unsure), *b.columns[3:]], names=["id", "lang_pred", "score", "ambiguous", *[f"c{i}" for i in range(len(extra))]])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(unsure), *b.columns[3:], *[b.column(1)] * texts], names=["id", "lang_pred", "score", "ambiguous", *[f"c{i}" for i in range(len(extra))], *["text"] * texts])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letters.alias("some"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(extra)])
-    kinds = [f"id {dict(docs.dtypes)[id_col]}", "lang_pred string", "score double", "ambiguous boolean", *[f"c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(extra)]]
+    kinds = [f"id {dict(docs.dtypes)[id_col]}", "lang_pred string", "score double", "ambiguous boolean", *[f"c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(extra)], *["text string"] * texts]
     out = rows.mapInArrow(run, ", ".join(kinds))
-    return out.select("id", "lang_pred", "score", "ambiguous", *[F.col(f"c{i}").alias(c) for i, c in enumerate(extra)])
+    return out.select("id", "lang_pred", "score", "ambiguous", *[F.col(f"c{i}").alias(c) for i, c in enumerate(extra)], *[F.col("text").alias(text_col)] * texts)

@@ -17,6 +17,15 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.expr("case quality when 1 then 2.0D when 0 then 0.5D else 1.0D end").alias("weight"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents of quality 1; background: all others."""
+    from readloom.llm.lm_score import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    models = fit(docs, _read(spark, sf_dir, "labels").filter("quality = 1"))
+    return score(docs, models).withColumnRenamed("id", "doc_id")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.mixing import mix_sources
 
@@ -30,6 +39,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from readloom.llm.packing import pack
+
+    out = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
+    return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.simhash import fingerprint_edits
+
+    return fingerprint_edits(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.minhash import near_duplicates
 
@@ -37,14 +61,49 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.langid import fit, held_out, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    out = predict(docs, fit(docs))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, k=10)
+
+
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.quotes import link_quotes
+
+    out = link_quotes(_read(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "root", "depth", "reply_to", "n_quoted", "n_linked", "max_level", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.substring import remove_repeats
 
     return remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OPERATORS = (
+    op1_lm_score,
+    op2_mix_sources,
+    op3_line_dedup,
+    op4_pack,
+    op5_simhash,
+    op6_minhash,
+    op7_language_id,
+    op8_nn_descent,
+    op9_quotation_linking,
+    op10_substring_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_line_dedup, op6_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -96,5 +155,39 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, d.doc_id = l.co
 FROM docs d JOIN low l ON d.doc_id = l.doc_id LEFT JOIN size z ON z.doc_id = d.doc_id"""
 
 
+QUOTES_SQL = rf"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r?\n')) AS line,
+         generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS pos
+  FROM conversations),
+parsed AS (
+  SELECT conv_id, turn, pos, line,
+         CAST(length(translate(regexp_extract(line, '^([ \t]*>)+'), ' ' || chr(9), '')) AS INTEGER) AS level,
+         {_LOWER.format("array_to_string(regexp_extract_all(regexp_replace(line, '^([ " + chr(92) + "t]*>)+', ''), '[^" + chr(92) + "x20" + chr(92) + "x09-" + chr(92) + "x0D]+'), ' ')")} AS norm
+  FROM lines),
+firsts AS (SELECT conv_id, norm, min(turn) AS origin FROM parsed WHERE level = 0 AND length(norm) >= 12 GROUP BY ALL),
+linked AS (
+  SELECT p.conv_id, p.turn, p.level, f.origin
+  FROM parsed p LEFT JOIN firsts f ON p.conv_id = f.conv_id AND p.norm = f.norm AND length(p.norm) >= 12 AND f.origin < p.turn
+  WHERE p.level > 0 AND p.norm <> ''),
+by_origin AS (SELECT conv_id, turn, origin, count(*) AS n, min(level) AS low, max(level) AS high FROM linked GROUP BY ALL),
+per AS (
+  SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN origin IS NULL THEN 0 ELSE n END) AS n_linked, max(high) AS max_level FROM by_origin GROUP BY ALL),
+parent AS (
+  SELECT conv_id, turn, origin AS reply_to FROM by_origin WHERE origin IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY low, n DESC, origin DESC) = 1),
+up AS (
+  SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM parent
+  UNION ALL SELECT u.conv_id, u.turn, p.reply_to, u.depth + 1 FROM up u JOIN parent p ON p.conv_id = u.conv_id AND p.turn = u.root),
+top AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+body AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS t FROM parsed WHERE level = 0 GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, coalesce(t.root, c.turn) AS root, CAST(coalesce(t.depth, 0) AS INTEGER) AS depth, p.reply_to,
+       CAST(coalesce(q.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(q.n_linked, 0) AS BIGINT) AS n_linked,
+       CAST(coalesce(q.max_level, 0) AS INTEGER) AS max_level, sha256(coalesce(b.t, '')) AS text_sha256
+FROM conversations c LEFT JOIN top t ON c.conv_id = t.conv_id AND c.turn = t.turn
+LEFT JOIN parent p ON c.conv_id = p.conv_id AND c.turn = p.turn LEFT JOIN per q ON c.conv_id = q.conv_id AND c.turn = q.turn
+LEFT JOIN body b ON c.conv_id = b.conv_id AND c.turn = b.turn"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINES_SQL, "op6_minhash": NEAR_SQL, "op10_substring_dedup": REPEATS_SQL}
+    return {"op3_line_dedup": LINES_SQL, "op6_minhash": NEAR_SQL, "op9_quotation_linking": QUOTES_SQL, "op10_substring_dedup": REPEATS_SQL}
