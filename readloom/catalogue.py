@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from readloom.plans import queries_kernels, queries_reads, queries_relational, queries_scalar, queries_variants  # noqa: F401
+from readloom.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
