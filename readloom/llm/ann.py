@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import release, written
+from readloom.llm.common import release, whole_groups, written
 
 DEGREE, REVERSE = 32, 32
 TREES, TREE_LINKS, CHUNK, TREE_BITS = 8, 16, 1024, 6
@@ -131,24 +131,6 @@ def _chunks(chunk: int, links: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches regrouped so that rows of one key (column 0, sorted) stay together."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not len(b):
-            continue
-        key = b.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left")) if key[0] != key[-1] else 0
-        if cut or (held and held[-1].column(0)[-1].as_py() != key[0]):
-            whole = [*held, b.slice(0, cut)] if cut else held
-            yield pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
     cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
     return list(zip(cuts, cuts[1:], strict=False))
@@ -156,7 +138,7 @@ def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns u, v, q, far: pairs of u's neighbours that are nearer than v's list ends."""
-    for b in _groups(batches):
+    for b in whole_groups(batches):
         nodes, far = b.column(1).to_numpy(), b.column(3).to_numpy()
         x = _matrix(b.column(2), np.int8).astype(np.float32)
         us, vs, ds = [], [], []
@@ -210,7 +192,7 @@ def build_graph(classes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns query, node, x (bytes): the row without a node holds the query's own."""
-    for b in _groups(batches):
+    for b in whole_groups(batches):
         keys, nodes = b.column(0).to_numpy(), b.column(1)
         none = nodes.is_null().to_numpy(zero_copy_only=False)
         ids = nodes.fill_null(0).to_numpy()

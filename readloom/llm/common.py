@@ -7,8 +7,11 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +98,21 @@ def text_key(text: Column) -> Column:
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality on the named columns."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches regrouped so that rows of one key (column 0, sorted) stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        key = b.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left")) if key[0] != key[-1] else 0
+        if cut or (held and held[-1].column(0)[-1].as_py() != key[0]):
+            whole = [*held, b.slice(0, cut)] if cut else held
+            yield pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -7,11 +7,11 @@ which the collision-corrected similarity of a candidate pair is estimated by
 counting bits; pairs that may reach the threshold are confirmed on their full
 sets.
 
-No bucket is expanded to all its pairs. Round one links every member of a bucket
-to one hub; linked members form components, and later rounds (with other hubs)
-look only at buckets that still hold several components. The last round compares
-each member outside the bucket's main component with all members of other
-components, so that no link between components is lost.
+No bucket is expanded to pairs. Round one links every member of a bucket to one
+hub; linked members form components, and round two (with other hubs) looks only
+at buckets that still hold several components. At last the members outside a
+bucket's main component are compared with all its members, block by block inside
+tasks, so that no link between components is lost.
 
 Bands are chosen so that a pair right at the threshold shares a bucket with
 probability 1 - 1e-7 at least.
@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
-from readloom.llm.common import release, text_key, written
+from readloom.llm.common import release, text_key, whole_groups, written
 from readloom.llm.components import components
 
 ROWS = 5  # minima of a band
 MISS = 1e-7  # chance that a pair at the threshold shares no bucket
 LOW_BITS = 2
 _CELLS = 32  # two-bit cells of a long
+BLOCK = 1024  # members of a bucket that one task compares with as many others
 
 
 def bands_for(threshold: float) -> int:
@@ -142,6 +143,88 @@ def _confirm(n: int, percent: int):
     return run
 
 
+def _blocks(n: int, percent: int):
+    """Links between labels inside groups of rows (g, side, node, label, text): every
+    side 0 row against every side 1 row, on full sets; a spanning forest of each group."""
+
+    def links(side: np.ndarray, nodes: list[bytes], labels: list[bytes], texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        if len(set(labels)) < 2:
+            return []
+        parts = [shingle_sets(w, n) for w in H.steps(texts, lower=True)]
+        x = np.concatenate([p[0] for p in parts])
+        size = np.concatenate([np.diff(p[1]) for p in parts])
+        owner = np.repeat(np.arange(len(size)), size)
+        number = {lab: i for i, lab in enumerate(dict.fromkeys(labels))}
+        lab = np.array([number[v] for v in labels])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.zeros(len(size), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        # Only shingles that both sides hold can meet.
+        _, x = np.unique(x, return_inverse=True)
+        is_left = side[owner] == 0
+        both = (np.bincount(x[is_left], minlength=x.max() + 1) > 0) & (np.bincount(x[~is_left], minlength=x.max() + 1) > 0)
+        column = np.cumsum(both) - 1
+        common = np.zeros((len(left), len(right)), np.float32)
+        total = int(both.sum())
+        keep = both[x]
+        o, c, sl = owner[keep], column[x[keep]], is_left[keep]
+        for lo in range(0, total, 4096):  # exact: counts are far below 2**24
+            m = (c >= lo) & (c < lo + 4096)
+            width = min(4096, total - lo)
+            a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            a[place[o[m & sl]], c[m & sl] - lo] = 1
+            b[place[o[m & ~sl]], c[m & ~sl] - lo] = 1
+            common += a @ b.T
+        common = common.astype(np.int64)
+        i, j = np.nonzero((100 * common >= percent * (size[left][:, None] + size[right][None] - common)) & (lab[left][:, None] != lab[right][None]))
+        up = list(range(len(number)))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        out = []
+        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            r, s = root(int(lab[a])), root(int(lab[b]))
+            if r != s:
+                up[r] = s
+                out.append((nodes[a], nodes[b]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            g, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            found = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                found += links(side[lo:hi], b.column(2).slice(lo, hi - lo).to_pylist(), b.column(3).slice(lo, hi - lo).to_pylist(), b.column(4).slice(lo, hi - lo))
+            u, v = [x[0] for x in found], [x[1] for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    return run
+
+
+def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that star rounds have not found. In each bucket of several components the
+    members outside its main one meet all members, in blocks of BLOCK by BLOCK: a row
+    is sent once for each block of the other side, and no row stands for a pair."""
+    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = at.groupBy("band", "key", "label").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("m"))
+    per = per.filter(F.col("all") > F.col("m.c")).select("band", "key", F.col("m.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("na"))
+    mixed = at.join(per, ["band", "key"])
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    sides = F.concat(
+        F.when(F.col("label") != F.col("main"), F.transform(upto("nb"), lambda j: F.struct(F.lit(0).alias("side"), own("na").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>")),
+        F.transform(upto("na"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("nb").alias("j"))),
+    )
+    rows = mixed.select("band", "key", "node", "label", F.explode(sides).alias("s")).select(F.xxhash64("band", "key", "s.i", "s.j").alias("g"), "s.side", "node", "label")
+    rows = rows.join(texts, "node").select("g", "side", "node", "label", "text")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_blocks(n, percent), "u binary, v binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, rounds: int = 2) -> DataFrame:
     """(id, k, n_shingles, component_id), a row for each document.
 
@@ -168,23 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["wid"]) & (rows["k"] == wanted["wk"])).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
     links, tested, labels = None, None, None
-    for turn in range(rounds + 1):
-        at = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    for turn in range(rounds):
         if labels is None:
-            hubs = at.groupBy("band", "key").agg(F.min("node").alias("hub"))
-            pairs = at.join(hubs, ["band", "key"]).filter("node != hub")
+            hubs = members.groupBy("band", "key").agg(F.min("node").alias("hub"))
+            pairs = members.join(hubs, ["band", "key"]).filter("node != hub")
         else:
-            mixed = at.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a != z").select("band", "key")
-            at = written(at.join(mixed, ["band", "key"]), "mixed")
-            if at.isEmpty():  # no bucket holds two components
-                break
-            if turn < rounds:
-                hubs = at.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node"), "node", "label")).alias("h")).select("band", "key", F.col("h.node").alias("hub"), F.col("h.label").alias("other"))
-                pairs = at.join(hubs, ["band", "key"]).filter("label != other")
-            else:
-                main = at.groupBy("band", "key", "label").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max(F.struct("c", "label")).alias("m")).select("band", "key", F.col("m.label").alias("main"))
-                minor = at.join(main, ["band", "key"]).filter("label != main").select("band", "key", F.col("node").alias("hub"), F.col("label").alias("other"))
-                pairs = at.join(minor, ["band", "key"]).filter("label != other")
+            at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = at.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node"), "node", "label")).alias("h")).filter("a != z")
+            pairs = at.join(mixed.select("band", "key", F.col("h.node").alias("hub"), F.col("h.label").alias("other")), ["band", "key"]).filter("label != other")
         pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -195,6 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         labels = written(components(links), "labels")
+    links = links.union(written(_rest(members, labels, texts, shingle, percent), "links"))
+    labels = written(components(links), "labels")
     release(texts, members)
     named = classes.join(labels, "node", "left").select("node", "low", F.coalesce("label", "node").alias("label"))
     names = named.groupBy("label").agg(F.min("low").alias("name"))
