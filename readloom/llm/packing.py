@@ -24,12 +24,8 @@ documents of their own and go to one partition, a piece for each.
 
 from __future__ import annotations
 
-import json
 import math
-import os
-import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -39,93 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import text_key, written
+from readloom.llm.encoding import encoder
 
 FAN = 16  # first-level partitions that share one of the second level
 PART_BYTES = 24 << 20
-_HELD = 250_000  # chunks, and parts of chunks, that a worker keeps
-# White space that str.split() and the tokenizers' patterns may see differently.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
-_loaded: dict[str, Encoder] = {}
-
-
-class Encoder:
-    """Token ids as bytes. For tokenizers whose normaliser and splitter never join
-    text over white space (``by_chunk``) chunks between blanks are encoded once and
-    kept. If besides the normaliser lower-cases and the splitter takes runs of
-    letters and runs of signs apart, a new chunk of Latin letters and signs is
-    made of its two parts, which are kept as well."""
-
-    def __init__(self, path: str, by_chunk: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tok = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.dtype == "<u2" else "I"
-        self.by_chunk, self.chunks, self.parts, self.bare = by_chunk, {}, {}, None
-        spec = json.loads(self.tok.to_str())
-        steps = [[x["type"] for x in (spec[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        runs = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        if by_chunk and steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "").endswith(runs):
-            # Lower-case Latin letters pass the normaliser unchanged and are one run of the splitter.
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = None
-            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def _batch(self, texts: list[str], tok=None) -> list[bytes]:
-        found = (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        if self.bare is None:
-            return dict(zip(chunks, self._batch(chunks), strict=True))
-        cut = {c: (m[1].lower(), m[2]) for c in chunks if (m := _LATIN(c))}
-        whole = [c for c in chunks if c not in cut]
-        out = dict(zip(whole, self._batch(whole), strict=True))
-        letters = list({a for a, _ in cut.values()}.difference(self.parts))
-        signs = list({b for _, b in cut.values() if b}.difference(self.parts))
-        if len(self.parts) + len(letters) > _HELD:
-            used = {x for ab in cut.values() for x in ab}
-            self.parts = {x: y for x, y in self.parts.items() if x in used}
-        self.parts.update(zip(letters, self._batch(letters, self.bare), strict=True))
-        self.parts.update(zip(signs, self._batch(signs), strict=True))
-        self.parts[""] = b""
-        parts = self.parts
-        out.update({c: parts[a] + parts[b] for c, (a, b) in cut.items()})
-        return out
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = array(self.code, [end_id]).tobytes()
-        whole = {i for i, t in enumerate(texts) if not self.by_chunk or _ODD.search(t)}
-        out = dict(zip(sorted(whole), self._batch([texts[i] for i in sorted(whole)]), strict=True))
-        split = {i: t.split() for i, t in enumerate(texts) if i not in whole}
-        new = self._new(list(set().union(*split.values()).difference(self.chunks)))
-        if len(self.chunks) < _HELD:
-            self.chunks.update(new)
-            get = self.chunks.__getitem__
-        else:
-            held = self.chunks
-            get = lambda c: held.get(c) or new[c]
-        for i, s in split.items():
-            out[i] = b"".join(map(get, s))
-        return [out[i] + end for i in range(len(texts))]
-
-
-def encoder(path: str, by_chunk: bool) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path, by_chunk)
-    return _loaded[path]
-
-
-def _tokenise(path: str, by_chunk: bool, end_id: int, step: int = 200):
+
+
+def _tokenise(path: str, by_chunk: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, by_chunk)
         for b in batches:
-            for lo in range(0, len(b), step):
-                part = b.slice(lo, step)
-                ids = enc.encode(part.column(3).fill_null("").to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary())], names=["id", "k", "source", "ids"])
+            lo = 0
+            for ids in enc.encode(b.column(3), end_id):
+                part = b.slice(lo, len(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids], names=["id", "k", "source", "ids"])
+                lo += len(ids)
 
     return run
 
@@ -297,7 +221,7 @@ def pack(
     whole = sum(shares.values()) or 1.0
     shares = {s: v / whole for s, v in shares.items()}
     parts = max(1, math.ceil(total / part_bytes))
-    dtype = encoder(tokenizer, by_chunk).dtype
+    dtype = encoder(tokenizer, by_chunk).dtype.str
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(docs.schema[id_col].dataType)
