@@ -30,7 +30,7 @@ def complement(regions: DataFrame, covered: DataFrame, key: list[str], start: st
     """What of disjoint regions no covered interval takes."""
     merged = merge_intervals(covered, key, start, end).select(*[F.col(k).alias(f"__{k}") for k in key], F.col(start).alias("__s"), F.col(end).alias("__e"))
     on = [regions[k] == merged[f"__{k}"] for k in key] + [merged["__s"] < regions[end], merged["__e"] > regions[start]]
-    cut = regions.join(merged, on, "left").select(*key, F.col(start).alias("rs"), F.col(end).alias("re"), F.greatest("__s", start).alias("s"), F.least("__e", end).alias("e"))
+    cut = regions.join(merged, on, "left").select(*key, F.col(start).alias("rs"), F.col(end).alias("re"), F.when(F.col("__s").isNotNull(), F.greatest("__s", start)).alias("s"), F.when(F.col("__e").isNotNull(), F.least("__e", end)).alias("e"))
     w = Window.partitionBy(*key, "rs", "re").orderBy("s")
     inner = cut.select(*key, F.coalesce(F.lag("e").over(w), F.col("rs")).alias(start), F.coalesce("s", "re").alias(end))
     tail = cut.groupBy(*key, "rs", "re").agg(F.max("e").alias("e")).filter("e < re").select(*key, F.col("e").alias(start), F.col("re").alias(end))
