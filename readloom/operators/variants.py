@@ -187,3 +187,62 @@ def correct_piles(targets: DataFrame, overlaps: DataFrame, window: int = 4096, t
     called = F.when(F.col("v").isNull() | (best["n"] < 2) | tied, F.col("base")).otherwise(best["b"])
     wins = full.withColumns({"i": F.floor(F.col("major") / window), "call": called}).groupBy("name", "i").agg(F.max(F.coalesce("depth", F.lit(0))).alias("d"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("major", "call"))), lambda x: x["call"]), "").alias("s"))
     return join_windows(wins.select("name", "i", F.when(F.col("d") >= least, F.col("s")).otherwise("").alias("part")))
+
+
+def variants_of_columns(majors: list[int], minors: list[int], ref: str, calls: list[str], draft: str) -> list[tuple[int, str, list[str]]]:
+    """(pos, ref, alleles) of the runs of varying columns; ``*`` is a gap, one call string
+    a haplotype. An insertion run varies as a whole; an allele that would be empty takes
+    the draft's base before."""
+    n = len(majors)
+    differs = [any(c[i] != ref[i] for c in calls) for i in range(n)]
+    runs_of: dict[int, list[int]] = {}
+    for i, m in enumerate(majors):
+        runs_of.setdefault(m, []).append(i)
+    for places in runs_of.values():
+        if len(places) > 1 and any(differs[i] for i in places):
+            for i in places:
+                differs[i] = True
+    out, i = [], 0
+    while i < n:
+        if not differs[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and differs[j] and (j == i or majors[j] - majors[j - 1] <= 1):
+            j += 1
+        pos = majors[i] if minors[i] == 0 else majors[i] + 1
+        r, alleles = ref[i:j].replace("*", ""), [c[i:j].replace("*", "") for c in calls]
+        if not r or not all(alleles):
+            if pos > 0:
+                pos -= 1
+                r, alleles = draft[pos] + r, [draft[pos] + a for a in alleles]
+            else:
+                nxt = draft[len(r) : len(r) + 1]
+                r, alleles = r + nxt, [a + nxt for a in alleles]
+        if any(a != r for a in alleles):
+            out.append((pos, r, alleles))
+        i = j
+    return out
+
+
+def column_windows(insertions: list[int], limit: int) -> list[tuple[int, int]]:
+    """Target windows of at most ``limit`` columns (a base and its insertions), each of
+    one position at least; a window begins where the last one ended."""
+    out, start, used = [], 0, 0
+    for p, ins in enumerate(insertions):
+        if p > start and used + 1 + ins > limit:
+            out.append((start, p))
+            start, used = p, 0
+        used += 1 + ins
+    return [*out, (start, len(insertions))] if insertions else []
+
+
+def poly_tail_settings(reads: DataFrame, settings: DataFrame) -> DataFrame:
+    """Reads with the poly-tail settings of their barcode, else the default row (null
+    barcode); disabled ones are not estimated."""
+    default = settings.filter("barcode is null").drop("barcode")
+    own = settings.filter("barcode is not null")
+    rest = [c for c in settings.columns if c != "barcode"]
+    joined = reads.join(own, "barcode", "left").join(F.broadcast(default.limit(1).select(*[F.col(c).alias(f"__{c}") for c in rest])), F.lit(True), "left")
+    full = joined.withColumns({c: F.coalesce(c, f"__{c}") for c in rest}).drop(*[f"__{c}" for c in rest])
+    return full.filter(F.coalesce("enabled", F.lit(True)))

@@ -124,3 +124,24 @@ def test_correct_piles(spark):
     t = spark.createDataFrame([("t", "ACGTACGT")], "name string, seq string")
     o = spark.createDataFrame([(f"q{i}", "t", 0, "8M", "ACCTACGT", 0.9, False) for i in range(3)], "qname string, tname string, tstart long, cigar string, seq string, accuracy double, long_indel boolean")
     assert [tuple(r) for r in V.correct_piles(t, o).collect()] == [("t", "ACCTACGT")]
+
+
+def test_variants_of_columns():
+    draft = "ACGT"
+    # A substitution at 1, an insertion after 2 in one haplotype, a deletion of 3 in both.
+    got = V.variants_of_columns([0, 1, 2, 2, 3], [0, 0, 0, 1, 0], "ACG*T", ["ATG*T", "ACG*T"], draft)
+    assert got == [(1, "C", ["T", "C"])]
+    assert V.variants_of_columns([0, 1, 2, 2, 3], [0, 0, 0, 1, 0], "ACG*T", ["ACGAT", "ACG*T"], draft) == [(2, "G", ["GA", "G"])]
+    assert V.variants_of_columns([0, 1, 2, 3], [0, 0, 0, 0], "ACGT", ["ACG*", "ACG*"], draft) == [(2, "GT", ["G", "G"])]
+    assert V.variants_of_columns([0, 1], [0, 0], "AC", ["*C", "*C"], draft) == [(0, "AC", ["C", "C"])]
+
+
+def test_column_windows():
+    assert V.column_windows([0, 0, 3, 0, 9, 0], 4) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    assert V.column_windows([], 4) == []
+
+
+def test_poly_tail_settings(spark):
+    reads = spark.createDataFrame([("a", "B1"), ("b", "B2"), ("c", None)], "read_id string, barcode string")
+    settings = spark.createDataFrame([(None, "AAA", True), ("B1", "CCC", True), ("B2", "CCC", False)], "barcode string, primer string, enabled boolean")
+    assert sorted((r.read_id, r.primer) for r in V.poly_tail_settings(reads, settings).collect()) == [("a", "CCC"), ("c", "AAA")]
