@@ -230,7 +230,7 @@ def pack(
     none = F.lit(None)
     first = tokens.repartition(parts, "id", "k").select("id", "k", "source", "ids", none.cast("long").alias("start"), none.cast("long").alias("doc_tokens"), F.lit("doc").alias("kind"), none.cast("double").alias("deficit"))
     one = written(first.mapInArrow(_pack(arrow, dtype, shares, size, packet, slack, 0), kind), "packed")
-    rest = one.filter("kind != 'piece'").repartition(max(1, math.ceil(parts / FAN)), F.floor(F.col("part") / FAN))
+    rest = one.filter("kind != 'piece'").repartitionByRange(max(1, math.ceil(parts / FAN)), "part")
     two = rest.select("id", "k", "source", "ids", "start", "doc_tokens", "kind", "deficit").mapInArrow(_pack(arrow, dtype, shares, size, packet, slack, 1), kind)
     return one.filter("kind = 'piece'").select(*_PIECE).unionByName(two.select(*_PIECE))
 
