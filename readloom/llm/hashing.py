@@ -3,7 +3,7 @@
 Words are maximal runs of bytes outside the six ASCII white-space bytes, which
 in UTF-8 equals the runs of code points outside ``[\\x20\\x09-\\x0D]``. Every
 function works on whole texts; batches are cut between texts only, so that the
-arrays of one step stay within a few tens of MB (a text longer than that is a
+arrays of one step stay within some ten MB (a text longer than that is a
 step of its own). Nulls count as empty texts.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-STEP_BYTES = 1 << 20  # bytes of text hashed in one step
+STEP_BYTES = 1 << 18  # bytes of text hashed in one step
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
