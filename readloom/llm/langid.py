@@ -136,8 +136,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 11).cast("double") / F.lit(float(1 << 53))
         counts = rows.filter(u < chance).select("text", "lang").mapInArrow(_count(languages, buckets), "l int, f int, n long")
         c = np.zeros((len(languages), len(ORDERS) * buckets))
-        for l, f, n in counts.groupBy("l", "f").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # noqa: E741
-            c[l, f] = n
+        got = counts.groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()  # at most languages * orders * buckets rows
+        c[got["l"].to_numpy(), got["f"].to_numpy()] = got["n"].to_numpy()
         for j in range(len(ORDERS)):
             part = c[:, j * buckets : (j + 1) * buckets]
             p = (part + 0.5) / (part + 0.5).sum(1, keepdims=True)  # of each language alike, whatever its share
