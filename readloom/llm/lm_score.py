@@ -102,7 +102,8 @@ def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     """Models of the documents whose ids ``targets`` has, and of all others."""
     named = targets.select(F.col(id_col).alias("tid")).distinct().withColumn("hit", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(named, rows["id"] == named["tid"], "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
+    # A merge join at every size: texts move once, whatever the size of the target list.
+    rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
     counts = rows.mapInArrow(_count(word_bits, pair_bits), "f int, t long, b long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     got = counts.toArrow()  # at most 2**word_bits + 2**pair_bits + 1 rows
     return Models(got["f"].to_numpy(), [got["t"].to_numpy(), got["b"].to_numpy()], word_bits, pair_bits)
