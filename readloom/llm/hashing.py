@@ -9,6 +9,7 @@ step of its own). Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,6 +17,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+    _trim = None
 STEP_BYTES = 1 << 18  # bytes of text hashed in one step
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -63,6 +68,13 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def tidy() -> None:
+    """Gives memory of the last batch back: executors run other processes beside this one."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def steps(texts: pa.Array, lower: bool = False, step_bytes: int = STEP_BYTES) -> Iterator[Words]:
     """Cuts a batch between texts and finds the words of each step."""
     if isinstance(texts, pa.ChunkedArray):
@@ -93,6 +105,9 @@ def steps(texts: pa.Array, lower: bool = False, step_bytes: int = STEP_BYTES) ->
         ends = np.flatnonzero(solid & ~after) + 1
         yield Words(lo, data, o, starts, ends, np.searchsorted(starts, o))
         lo = hi
+    if len(raw) > 1 << 20:
+        del data, solid, before, after, starts, ends
+        tidy()
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
