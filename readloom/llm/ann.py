@@ -4,8 +4,9 @@ Equal vectors are one node (named by the smallest id), so that a vector of very
 many rows takes one place in neighbour lists. The graph starts from chunks of
 random-projection orders and is improved by NN-descent: each node's neighbours
 and reverse neighbours meet in a local join that proposes every pair closer than
-the farther one's current list. Building works on vectors rounded to bytes; scores
-come from the original ones in double precision.
+the farther one's current list. Building and search work on the original vectors,
+in double precision and by differences, so that neither a long vector nor a clump of
+close ones blurs the order of the others.
 
 Search keeps the ``ef`` best nodes of each query, and hop by hop opens the best
 ones not yet opened, until none is left. A query starts at its own node's list.
@@ -54,54 +55,58 @@ def _binary(m: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(m)], pa.binary())
 
 
-def _classes(scale: float):
+def _classes(dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), _binary(m), _binary(np.clip(np.round(m * scale), -127, 127).astype(np.int8))], names=["node", "v", "q"])
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(b), -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), _binary(m)], names=["node", "v"])
 
     return run
 
 
-def _project(trees: int, bits: int, seed: int):
+def _project(trees: int, bits: int, seed: int, dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            x = _matrix(b.column(1), np.int8).astype(np.float32)
+            x = _matrix(b.column(1), dtype).astype(np.float64)
             for t in range(trees):
                 rng = np.random.Generator(np.random.PCG64([seed, t]))
-                p = x @ rng.standard_normal((x.shape[1], bits + 1)).astype(np.float32)
+                p = x @ rng.standard_normal((x.shape[1], bits + 1))
                 code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int32)), pa.array(p[:, bits]), b.column(0), b.column(1)], names=["t", "code", "p", "node", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int32)), pa.array(p[:, bits]), b.column(0), b.column(1)], names=["t", "code", "p", "node", "v"])
 
     return run
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    """Squared distances by differences: nothing cancels, so close vectors keep their order."""
+    out, step = np.empty((len(a), len(b))), max(1, (1 << 17) // max(b.size, 1))
+    for lo in range(0, len(a), step):
+        x = a[lo : lo + step, None] - b[None]
+        out[lo : lo + step] = np.einsum("ijk,ijk->ij", x, x)
+    return out
 
 
 def _links(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.float32))], names=["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
 
 
-def _chunks(chunk: int, links: int):
+def _chunks(chunk: int, links: int, dtype):
     """Nearest of each node within a chunk of one projection's order."""
 
-    def near(nodes: np.ndarray, q: np.ndarray) -> pa.RecordBatch | None:
+    def near(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
         k = min(links, len(nodes) - 1)
         if k < 1:
             return None
-        x = q.astype(np.float32)
         d = _square(x, x)
         np.fill_diagonal(d, np.inf)
         p = np.argpartition(d, k - 1, axis=1)[:, :k]
         return _links(np.repeat(nodes, k), nodes[p].ravel(), np.take_along_axis(d, p, 1).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, nodes, q = None, [], []
+        tree, nodes, x = None, [], []
         for b in batches:
             t = b.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
@@ -109,22 +114,22 @@ def _chunks(chunk: int, links: int):
                 if lo == hi:
                     continue
                 if t[lo] != tree and nodes:
-                    out = near(np.concatenate(nodes), np.concatenate(q))
-                    nodes, q = [], []
+                    out = near(np.concatenate(nodes), np.concatenate(x))
+                    nodes, x = [], []
                     if out:
                         yield out
                 tree = t[lo]
-                ids, m = b.column(3).slice(lo, hi - lo).to_numpy(), _matrix(b.column(4).slice(lo, hi - lo), np.int8)
+                ids, m = b.column(3).slice(lo, hi - lo).to_numpy(), _matrix(b.column(4).slice(lo, hi - lo), dtype).astype(np.float64)
                 while len(ids):
                     room = chunk - sum(map(len, nodes))
                     nodes.append(ids[:room])
-                    q.append(m[:room])
+                    x.append(m[:room])
                     ids, m = ids[room:], m[room:]
                     if sum(map(len, nodes)) == chunk:
-                        yield near(np.concatenate(nodes), np.concatenate(q))
-                        nodes, q = [], []
+                        yield near(np.concatenate(nodes), np.concatenate(x))
+                        nodes, x = [], []
         if nodes:
-            out = near(np.concatenate(nodes), np.concatenate(q))
+            out = near(np.concatenate(nodes), np.concatenate(x))
             if out:
                 yield out
 
@@ -136,24 +141,28 @@ def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns u, v, q, far: pairs of u's neighbours that are nearer than v's list ends."""
-    for b in whole_groups(batches):
-        nodes, far = b.column(1).to_numpy(), b.column(3).to_numpy()
-        x = _matrix(b.column(2), np.int8).astype(np.float32)
-        us, vs, ds = [], [], []
-        for lo, hi in _bounds(b.column(0).to_numpy()):
-            d = _square(x[lo:hi], x[lo:hi])
-            np.fill_diagonal(d, np.inf)
-            i, j = np.nonzero(d < far[lo:hi, None])
-            us.append(nodes[lo + i])
-            vs.append(nodes[lo + j])
-            ds.append(d[i, j])
-            if sum(map(len, us)) > 200_000:
+def _local_join(dtype):
+    """Columns u, node, x, far: pairs of u's neighbours that are nearer than node's list ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            nodes, far = b.column(1).to_numpy(), b.column(3).to_numpy()
+            x = _matrix(b.column(2), dtype).astype(np.float64)
+            us, vs, ds = [], [], []
+            for lo, hi in _bounds(b.column(0).to_numpy()):
+                d = _square(x[lo:hi], x[lo:hi])
+                np.fill_diagonal(d, np.inf)
+                i, j = np.nonzero(d < far[lo:hi, None])
+                us.append(nodes[lo + i])
+                vs.append(nodes[lo + j])
+                ds.append(d[i, j])
+                if sum(map(len, us)) > 200_000:
+                    yield _links(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
+                    us, vs, ds = [], [], []
+            if us:
                 yield _links(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
-                us, vs, ds = [], [], []
-        if us:
-            yield _links(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
+
+    return run
 
 
 def _nearest(links: DataFrame, k: int, salt: int = 16) -> DataFrame:
@@ -168,18 +177,18 @@ def _both_ways(links: DataFrame, reverse: int) -> DataFrame:
     return links.select("u", "v").union(back.select("u", "v")).distinct()
 
 
-def build_graph(classes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """(u, v, d): for each node its approximate nearest ones, d in squared rounded units."""
-    q = classes.select("node", "q")
-    spread = q.mapInArrow(_project(TREES, TREE_BITS, seed), "t int, code int, p float, node long, q binary")
+def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
+    """(u, v, d): for each node its approximate nearest ones, d the squared distance."""
+    spread = classes.mapInArrow(_project(TREES, TREE_BITS, seed, dtype), "t int, code int, p double, node long, v binary")
     spread = spread.repartitionByRange("t", "code", "p", "node").sortWithinPartitions("t", "code", "p", "node")
-    links = written(_nearest(spread.mapInArrow(_chunks(CHUNK, TREE_LINKS), "u long, v long, d float"), degree), "graph")
+    links = written(_nearest(spread.mapInArrow(_chunks(CHUNK, TREE_LINKS, dtype), "u long, v long, d double"), degree), "graph")
     for _ in range(rounds):
         far = links.groupBy("u").agg(F.count("*").alias("n"), F.max("d").alias("d"))
-        far = far.select(F.col("u").alias("node"), F.when(F.col("n") < degree, float("inf")).otherwise(F.col("d")).cast("float").alias("far"))
-        ends = q.join(far, "node", "left").select(F.col("node").alias("v"), "q", F.coalesce("far", F.lit(float("inf"))).cast("float").alias("far"))
-        meet = _both_ways(links, reverse).join(ends, "v").select("u", "v", "q", "far")
-        found = meet.repartition("u").sortWithinPartitions("u").mapInArrow(_local_join, "u long, v long, d float")
+        far = far.select(F.col("u").alias("node"), F.when(F.col("n") < degree, float("inf")).otherwise(F.col("d")).alias("far"))
+        ends = classes.join(far, "node", "left").select("node", F.col("v").alias("x"), F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        both = _both_ways(links, reverse)
+        meet = both.join(ends, both["v"] == ends["node"]).select("u", "node", "x", "far")
+        found = meet.repartition("u").sortWithinPartitions("u").mapInArrow(_local_join(dtype), "u long, v long, d double")
         # Proposals are cut before they meet the lists.
         after = written(_nearest(_nearest(found, degree).union(links), degree), "graph")
         total, kept = after.count(), after.join(links, ["u", "v"], "left_semi").count()
@@ -190,40 +199,37 @@ def build_graph(classes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE
     return links
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(dtype):
     """Columns query, node, x (bytes): the row without a node holds the query's own."""
-    for b in whole_groups(batches):
-        keys, nodes = b.column(0).to_numpy(), b.column(1)
-        none = nodes.is_null().to_numpy(zero_copy_only=False)
-        ids = nodes.fill_null(0).to_numpy()
-        x = _matrix(b.column(2), np.int8).astype(np.float32)
-        for lo, hi in _bounds(keys):
-            own = x[lo:hi][none[lo:hi]]
-            rest = ~none[lo:hi]
-            if len(own) and rest.any():
-                d = ((x[lo:hi][rest] - own[0]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi][rest]), pa.array(ids[lo:hi][rest]), pa.array(d.astype(np.float32))], names=["query", "node", "d"])
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if len(b):
-            a, c = _matrix(b.column(2), np.float64), _matrix(b.column(3), np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.sqrt(((a - c) ** 2).sum(1)))], names=["query", "node", "score"])
-
-
-def search(classes: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: int = EF, width: int = WIDTH, reverse: int = REVERSE, hops: int = HOPS) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            keys, nodes = b.column(0).to_numpy(), b.column(1)
+            none = nodes.is_null().to_numpy(zero_copy_only=False)
+            ids = nodes.fill_null(0).to_numpy()
+            x = _matrix(b.column(2), dtype).astype(np.float64)
+            for lo, hi in _bounds(keys):
+                own = x[lo:hi][none[lo:hi]]
+                rest = ~none[lo:hi]
+                if len(own) and rest.any():
+                    d = ((x[lo:hi][rest] - own[0]) ** 2).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi][rest]), pa.array(ids[lo:hi][rest]), pa.array(d)], names=["query", "node", "d"])
+
+    return run
+
+
+def search(classes: DataFrame, links: DataFrame, queries: DataFrame, dtype, k: int, ef: int = EF, width: int = WIDTH, reverse: int = REVERSE, hops: int = HOPS) -> DataFrame:
     """(query, node, score): for each query node its k nearest nodes found, itself included."""
     graph = written(_both_ways(links, reverse), "graph")
-    vectors = classes.select("node", "q")
-    own = queries.select(F.col("node").alias("query")).join(vectors.withColumnRenamed("node", "query"), "query").select("query", F.lit(None).cast("long").alias("node"), "q")
+    vectors = classes.withColumnRenamed("v", "x")
+    own = queries.select(F.col("node").alias("query")).join(vectors.withColumnRenamed("node", "query"), "query").select("query", F.lit(None).cast("long").alias("node"), "x")
     best = Window.partitionBy("query").orderBy("d", "node")
-    beam = written(queries.select(F.col("node").alias("query"), "node", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("open")), "beam")
+    beam = written(queries.select(F.col("node").alias("query"), "node", F.lit(0.0).alias("d"), F.lit(False).alias("open")), "beam")
     for _ in range(hops):
         turn = beam.filter("not open").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width).select("query", "node")
         new = turn.join(graph, turn["node"] == graph["u"]).select("query", F.col("v").alias("node")).distinct().join(beam, ["query", "node"], "left_anti")
-        rows = new.join(vectors, "node").select("query", "node", "q").union(own)
-        seen = rows.repartition("query").sortWithinPartitions("query").mapInArrow(_measure, "query long, node long, d float")
+        rows = new.join(vectors, "node").select("query", "node", "x").union(own)
+        seen = rows.repartition("query").sortWithinPartitions("query").mapInArrow(_measure(dtype), "query long, node long, d double")
         opened = beam.join(turn.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "d", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
         both = opened.union(seen.withColumn("open", F.lit(False)))
         after = written(both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= ef).drop("r"), "beam")
@@ -231,11 +237,7 @@ def search(classes: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef:
         beam = after
         if beam.filter("not open").isEmpty():
             break
-    full = classes.select("node", "v")
-    pairs = beam.select("query", "node").join(full, "node").join(full.select(F.col("node").alias("query"), F.col("v").alias("w")), "query").select("query", "node", "v", "w")
-    exact = pairs.mapInArrow(_exact, "query long, node long, score double")
-    rank = Window.partitionBy("query").orderBy("score", "node")
-    return exact.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).drop("r")
+    return beam.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query", "node", F.sqrt("d").alias("score"))
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **search_options) -> DataFrame:
@@ -246,13 +248,13 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     keyed = rows.select("id", "v", *key)
     firsts = keyed.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     members = written(keyed.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "node"), "members")
-    top = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
     nodes = members.filter("id = node").select("id").distinct()
     distinct = rows.join(nodes, "id", "left_semi").dropDuplicates(["id"])
-    classes = written(distinct.mapInArrow(_classes(127.0 / top if top else 1.0), "node long, v binary, q binary"), "classes")
-    links = build_graph(classes)
+    dtype = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    classes = written(distinct.mapInArrow(_classes(dtype), "node long, v binary"), "classes")
+    links = build_graph(classes, dtype)
     asked = members.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("node").alias("query")).distinct()
-    found = search(classes, links, asked.select(F.col("query").alias("node")).distinct(), k + 1, **search_options)
+    found = search(classes, links, asked.select(F.col("query").alias("node")).distinct(), dtype, k + 1, **search_options)
     # Of each class the k + 1 smallest ids are enough.
     few = members.distinct().withColumn("s", F.pmod("id", F.lit(64)))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node", "s").orderBy("id"))).filter(F.col("r") <= k + 1).drop("s", "r")
