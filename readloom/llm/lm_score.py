@@ -1,32 +1,40 @@
 """Cross-entropy difference of two n-gram models (Moore-Lewis selection).
 
-Both models are interpolated bigram models over one hashed vocabulary: words
-(A-Z lower-cased) fall into ``2**word_bits`` classes, word pairs into
-``2**pair_bits``. Every document is counted, target documents for the target
-model and the others for the background. Tasks count in arrays of fixed size and
-send what is not zero; the sums are shuffled by class, so what is gathered grows
-with the input while the model's size, and so its broadcast, is fixed.
+Both models are interpolated bigram models over one vocabulary, the distinct words
+(A-Z lower-cased) of all documents. Words are told apart by 64-bit hashes, pairs by
+those of both words. Every document is counted, target documents for the target
+model and the others for the background. Counts and losses are tables that grow
+with the corpus: the losses of each pair meet the pairs of the documents in joins
+that adaptive execution splits, and are summed by text. Pairs are dealt into
+``PARTS`` parts by their hash, one after the other, which bounds the disk of shuffles.
+
+``Models`` is the same over hashed classes of fixed size, for where that is wanted;
+``fit`` makes it if it is given the sizes. There, pairs that collide add up.
 
 A document's score is the mean over its tokens of the target loss less the
 background loss, in nats: low is close to the target.
 
 Defined cases: texts without words have 0 tokens and null losses; a document
 counts as target once however many target rows name it; without target documents
-the target model is the uniform one.
+the target model is the uniform one; a text whose pairs or words were not counted
+backs off to the words, and these to one unseen word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
+from readloom.llm.common import text_key, word_count, written
 
-WORD_BITS, PAIR_BITS = 18, 20
+PARTS = 4
 WEIGHT = 0.7  # of the bigram estimate where its context was seen
 
 
@@ -98,19 +106,100 @@ class Models:
         return n, out[0], out[1]
 
 
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Models:
+class Counts(NamedTuple):
+    """Counts under both models (t, b) as tables, and their totals."""
+
+    pairs: list[DataFrame]  # c, w, t, b by part; c is 0 where w begins a text
+    words: DataFrame  # w, t, b
+    contexts: DataFrame  # c, t, b
+    vocabulary: int
+    total: tuple[int, int]
+
+
+def _tokens(part: int, parts: int):
+    """Columns key, c, w: the pairs of one part, with the key of their row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(1).to_numpy(zero_copy_only=False)
+            for w in H.steps(b.column(0), lower=True):
+                h = H.word_hashes(w)
+                before = np.zeros(len(h), H.U64)
+                before[1:] = h[:-1]
+                before[w.first[:-1][w.first[:-1] < w.first[1:]]] = 0
+                pick = H.mix(before * H._Q + h) % H.U64(parts) == part
+                mine = np.repeat(key[w.lo : w.lo + len(w.first) - 1], np.diff(w.first))
+                yield pa.record_batch([pa.array(mine[pick]), pa.array(before[pick].view(np.int64)), pa.array(h[pick].view(np.int64))], ["key", "c", "w"])
+
+    return run
+
+
+def _loss(both: Column, context: Column, word: Column, total: int, vocabulary: int) -> Column:
+    """Of a word after its context; columns hold counts, null where there is none."""
+    uni = (F.coalesce(word, F.lit(0)) + 1) / F.lit(float(total + vocabulary))
+    return -F.log(F.when(context > 0, WEIGHT * F.coalesce(both, F.lit(0)) / context + (1 - WEIGHT) * uni).otherwise(uni))
+
+
+def _losses(pairs: DataFrame, m: Counts) -> DataFrame:
+    """pairs (c, w, t, b, further columns) with the losses lt and lb in place of t and b."""
+    words = m.words.select("w", F.col("t").alias("wt"), F.col("b").alias("wb"))
+    contexts = m.contexts.select("c", F.col("t").alias("ct"), F.col("b").alias("cb"))
+    loss = [_loss(F.col(k), F.col(f"c{k}"), F.col(f"w{k}"), n, m.vocabulary).alias(f"l{k}") for k, n in zip("tb", m.total, strict=True)]
+    return pairs.join(contexts, "c", "left").join(words, "w", "left").select(*[x for x in pairs.columns if x not in "tb"], *loss)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_bits: int | None = None, pair_bits: int | None = None, parts: int = PARTS) -> Counts | Models:
     """Models of the documents whose ids ``targets`` has, and of all others."""
     named = targets.select(F.col(id_col).alias("tid")).distinct().withColumn("hit", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A merge join at every size: texts move once, whatever the size of the target list.
     rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    counts = rows.mapInArrow(_count(word_bits, pair_bits), "f int, t long, b long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    got = counts.toArrow()  # at most 2**word_bits + 2**pair_bits + 1 rows
-    return Models(got["f"].to_numpy(), [got["t"].to_numpy(), got["b"].to_numpy()], word_bits, pair_bits)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if word_bits and pair_bits:
+        counts = rows.mapInArrow(_count(word_bits, pair_bits), "f int, t long, b long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        got = counts.toArrow()  # at most 2**word_bits + 2**pair_bits + 1 rows
+        return Models(got["f"].to_numpy(), [got["t"].to_numpy(), got["b"].to_numpy()], word_bits, pair_bits)
+    rows = rows.withColumn("hit", F.col("hit").cast("long"))
+    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
+    pairs = []
+    for part in range(parts):
+        tokens = rows.mapInArrow(_tokens(part, parts), "key long, c long, w long")
+        pairs.append(written(tokens.groupBy("c", "w").agg(F.sum("key").alias("t"), F.sum(1 - F.col("key")).alias("b")), "pairs"))
+    words = written(_union(pairs).groupBy("w").agg(*sums), "words")
+    heads = _union(pairs).filter("c = 0").agg(*[F.coalesce(x, F.lit(0)).alias(n) for x, n in zip((F.sum("t"), F.sum("b")), "tb", strict=True)])
+    contexts = words.withColumnRenamed("w", "c").union(heads.select(F.lit(0).cast("long").alias("c"), "t", "b"))
+    n, t, b = words.agg(F.count("*"), F.sum("t"), F.sum("b")).first()
+    return Counts(pairs, words, written(contexts, "contexts"), n + 1, (t or 0, b or 0))
+
+
+def score(docs: DataFrame, models: Counts | Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score), a row for each document."""
+    if isinstance(models, Models):
+        return _score_classes(docs, models, id_col, text_col)
+    texts = docs.select(F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("k"))
+    sums = [F.sum(x).alias(x) for x in ("n", "lt", "lb")]
+    known, missed = [], []
+    for part, pairs in enumerate(models.pairs):
+        tokens = texts.mapInArrow(_tokens(part, len(models.pairs)), "k long, c long, w long")
+        found = tokens.join(_losses(pairs, models), ["c", "w"], "left")
+        # Pairs that were not counted stay apart, for their words.
+        new = F.col("lt").isNull()
+        by_text = found.groupBy("k", F.when(new, F.col("c")).alias("c"), F.when(new, F.col("w")).alias("w"))
+        out = written(by_text.agg(F.count("*").alias("n"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb")), "losses")
+        known.append(out.filter("c is null").select("k", "n", "lt", "lb"))
+        missed.append(out.filter("c is not null").select("k", "c", "w", "n", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("b")))
+    backed = _losses(_union(missed), models).select("k", "n", (F.col("n") * F.col("lt")).alias("lt"), (F.col("n") * F.col("lb")).alias("lb"))
+    per = written(_union([*known, backed]).groupBy("k").agg(*sums), "losses")
+    # Rows of one text add up there: both the sums and the number of tokens.
+    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("n_tokens"), text_key(F.col(text_col)).alias("k"))
+    t, b = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
+    return rows.join(per, "k", "left").select("id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
+
+
+def _score_classes(docs: DataFrame, models: Models, id_col: str, text_col: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
