@@ -19,15 +19,20 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
+TIDY_S = 2.0  # least seconds between two collections of the driver
 _ours: dict[str, str] = {}
+_tidied = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests in one process), a temporary folder that is set as such."""
+    that is unset and all run in one process, a temporary folder that is set as such."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _ours:
         _ours[app] = tempfile.mkdtemp(prefix="readloom-")
@@ -52,16 +57,22 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/readloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
-    for _ in range(2):  # Spark drops the shuffle files of plans that neither side holds any more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)  # its listeners hold a plan for a moment after its end
+    _tidy(spark)
     out = spark.read.schema(df.schema).parquet(where)
     out._readloom_path = where
     atexit.register(_quietly, spark, where)
     return out
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of plans that neither side holds any more."""
+    global _tidied
+    if time.monotonic() - _tidied > TIDY_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def _quietly(spark: SparkSession, where: str) -> None:
     if getattr(spark.sparkContext, "_jsc", None) is not None:
         drop_table(spark, where)

@@ -149,9 +149,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, ambiguous) and the columns ``keep``, a row for each document."""
+    """(id, lang_pred, score, ambiguous) and the columns ``keep``, a row for each document.
+
+    A kept column whose name is taken gets underscores at its end. Of languages
+    with equal scores the first by name is predicted, and the text is ambiguous.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # of fixed size
+    names = ["id", "lang_pred", "score", "ambiguous"]
+    for c in (*[c for c in keep if c not in (id_col, text_col)], *[text_col] * (text_col in keep)):
+        while c in names:
+            c += "_"
+        names.append(c)
     extra = [c for c in keep if c not in (id_col, text_col)]
     texts = text_col in keep
 
@@ -177,4 +186,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letters.alias("some"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(extra)])
     kinds = [f"id {dict(docs.dtypes)[id_col]}", "lang_pred string", "score double", "ambiguous boolean", *[f"c{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(extra)], *["text string"] * texts]
     out = rows.mapInArrow(run, ", ".join(kinds))
-    return out.select("id", "lang_pred", "score", "ambiguous", *[F.col(f"c{i}").alias(c) for i, c in enumerate(extra)], *[F.col("text").alias(text_col)] * texts)
+    return out.toDF(*names)
