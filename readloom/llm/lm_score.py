@@ -1,23 +1,31 @@
-"""Cross-entropy difference of two n-gram models (Moore-Lewis selection).
+"""Cross-entropy difference of two matched n-gram models (Moore-Lewis selection).
 
-Both models are interpolated bigram models over one vocabulary, the distinct words
-(A-Z lower-cased) of all documents. Words are told apart by 64-bit hashes, pairs by
-those of both words. Every document is counted, target documents for the target
-model and the others for the background. Counts and losses are tables that grow
-with the corpus: the losses of each pair meet the pairs of the documents in joins
-that adaptive execution splits, and are summed by text. Pairs are dealt into
-``PARTS`` parts by their hash, one after the other, which bounds the disk of shuffles.
+Target documents train one bigram model, all others the background. Both are
+matched: one vocabulary (the distinct words of all documents, A-Z lower-cased), one
+unigram model of all documents that both fall back on, one prior, and one evidence:
+counts of the larger side are scaled to the tokens of the smaller, so that a score
+does not depend on how much larger the background is. A document's own counts are
+left out of the model that it trained, so nothing is scored by itself.
 
-``Models`` is the same over hashed classes of fixed size, for where that is wanted;
-``fit`` makes it if it is given the sizes. There, pairs that collide add up.
+    p(w | c) = (scale * n(c, w) + prior * q(w)) / (scale * n(c, .) + prior)
 
+n leaves the document's own counts out, q(w) = (n(w) + 1) / (tokens + words + 1).
 A document's score is the mean over its tokens of the target loss less the
 background loss, in nats: low is close to the target.
 
-Defined cases: texts without words have 0 tokens and null losses; a document
-counts as target once however many target rows name it; without target documents
-the target model is the uniform one; a text whose pairs or words were not counted
-backs off to the words, and these to one unseen word.
+Counts are exact, by 64-bit hashes of words and contexts, and grow with the corpus.
+One shuffle brings all occurrences of a word together, sorted by context, where sums
+over groups (which spill) give pair, word and context counts at once; the losses go
+back summed by text. The ``heavy`` most frequent words are known to every task:
+pairs of two of them are counted in arrays of fixed size and never shuffled, pairs
+of one of them are dealt by the pair. So no key has more rows than the next most
+frequent word, 1 / ``heavy`` of all at most. Words are dealt into ``parts`` parts, one
+after the other, which bounds the disk of the shuffle.
+
+Defined cases: texts without words (null and empty ones) have 0 tokens and null
+losses; a document counts as target once however many target rows name it, null ids
+name none; without documents of one side that model is the shared unigram model;
+rows of one text and side share their losses, each row trains the models.
 """
 
 from __future__ import annotations
@@ -28,190 +36,248 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
-from readloom.llm.common import text_key, word_count, written
+from readloom.llm.common import release, text_key, written
 
-PARTS = 4
-WEIGHT = 0.7  # of the bigram estimate where its context was seen
+PRIOR = 50.0  # tokens of evidence that the shared unigram model stands for
+HEAVY = 512
+PARTS = 2
+_HOLD = 1 << 20  # words that a task aggregates before it sends counts
 
 
-def _classes(w: H.Words, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each word, class of the pair it ends, and whether it begins a text."""
+class Corpus(NamedTuple):
+    """What every task knows; of a size that ``heavy`` bounds."""
+
+    words: np.ndarray  # sorted hashes of the heavy words
+    total: np.ndarray  # their occurrences
+    after: np.ndarray  # 2 x (heavy + 1): how often each was a context, by model; last the beginnings of texts
+    pairs: np.ndarray  # 2 x (heavy + 1) * heavy: pairs of two heavy words by model
+    scale: tuple[float, float]
+    mass: float  # tokens + words + 1
+    prior: float
+
+
+class _Step(NamedTuple):
+    h: np.ndarray  # words
+    text: np.ndarray  # number of each word's text in the step
+    before: np.ndarray  # its context, 0 where a text begins
+    head: np.ndarray
+    followed: np.ndarray  # whether it is a context itself
+
+
+def _step(w: H.Words) -> _Step:
     h = H.word_hashes(w)
-    head = np.zeros(len(h), bool)
-    head[w.first[:-1][w.first[:-1] < w.first[1:]]] = True
+    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    full = w.first[:-1] < w.first[1:]
+    head, followed = np.zeros(len(h), bool), np.ones(len(h), bool)
+    head[w.first[:-1][full]] = True
+    followed[w.first[1:][full] - 1] = False
     before = np.zeros(len(h), H.U64)
     before[1:] = h[:-1]
     before[head] = 0
-    return (h >> H.U64(64 - word_bits)).astype(np.int64), (H.mix(before * H._Q + h) >> H.U64(64 - pair_bits)).astype(np.int64), head
+    return _Step(h, text, before, head, followed)
+
+
+def _hits(col: pa.Array) -> np.ndarray:
+    return col.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _sums(key: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    u, at = np.unique(key, return_inverse=True)
+    return u, [np.bincount(at, c, len(u)).astype(np.int64) for c in counts]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns w, t, b (occurrences by model), ta, ba (as context); w is 0 for the beginnings."""
+    held: list[tuple] = []
+
+    def rows() -> pa.RecordBatch:
+        u, sums = _sums(np.concatenate([x[0] for x in held]), [np.concatenate(c) for c in zip(*[x[1] for x in held], strict=True)])
+        return pa.record_batch([pa.array(H.signed(u)), *map(pa.array, sums)], ["w", "t", "b", "ta", "ba"])
+
+    for b in batches:
+        hit = _hits(b.column(1))
+        for w in H.steps(b.column(0), lower=True):
+            s = _step(w)
+            if not len(s.h):
+                continue
+            mine = hit[w.lo + s.text]
+            n = int(s.head.sum())
+            key = np.concatenate([s.h, np.zeros(n, H.U64)])
+            begun, none = mine[s.head], np.zeros(n, bool)
+            held.append(_sums(key, [np.append(mine, none), np.append(~mine, none), np.append(mine & s.followed, begun), np.append(~mine & s.followed, ~begun)]))
+            if sum(len(x[0]) for x in held) > _HOLD:
+                yield rows()
+                held = []
+    if held:
+        yield rows()
 
 
-def _count(word_bits: int, pair_bits: int):
-    nw, np_ = 1 << word_bits, 1 << pair_bits
+def _places(words: np.ndarray, s: _Step) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word, and of its context, among the heavy ones; -1: not heavy."""
+    if not len(words):
+        return np.full(len(s.h), -1), np.where(s.head, 0, -1)
+    at = np.minimum(np.searchsorted(words, s.h), len(words) - 1)
+    j = np.where(words[at] == s.h, at, -1)
+    c = np.full(len(j), -1)
+    c[1:] = j[:-1]
+    c[s.head] = len(words)
+    return j, c
+
+
+def _count_pairs(words: np.ndarray):
+    """Columns f (pair of heavy words), t, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, nw + np_ + 1), np.int32)
+        size = (len(words) + 1) * len(words)
+        total = np.zeros((2, size), np.int64)
         for b in batches:
-            target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            hit = _hits(b.column(1))
             for w in H.steps(b.column(0), lower=True):
-                word, pair, head = _classes(w, word_bits, pair_bits)
-                mine = np.repeat(target[w.lo : w.lo + len(w.first) - 1], np.diff(w.first))
-                for k, pick in enumerate((~mine, mine)):
-                    total[k, :nw] += np.bincount(word[pick], minlength=nw).astype(np.int32)
-                    total[k, nw:-1] += np.bincount(pair[pick], minlength=np_).astype(np.int32)
-                    total[k, -1] += int((head & pick).sum())
+                s = _step(w)
+                j, c = _places(words, s)
+                both = (j >= 0) & (c >= 0)
+                flat, mine = c[both] * len(words) + j[both], hit[w.lo + s.text[both]]
+                total[0] += np.bincount(flat[mine], minlength=size)
+                total[1] += np.bincount(flat[~mine], minlength=size)
         at = np.flatnonzero(total.any(0))
         for lo in range(0, len(at), 1 << 16):
             part = at[lo : lo + (1 << 16)]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[1, part].astype(np.int64)), pa.array(total[0, part].astype(np.int64))], ["f", "t", "b"])
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], ["f", "t", "b"])
 
     return run
 
 
-class Models:
-    """Losses of words and pairs under both models, as arrays of fixed size."""
-
-    def __init__(self, f: np.ndarray, counts: list[np.ndarray], word_bits: int, pair_bits: int):
-        self.bits = (word_bits, pair_bits)
-        nw, n = 1 << word_bits, (1 << word_bits) + (1 << pair_bits) + 1
-        self.word, self.pair, self.head = [], [], []
-        for c in counts:
-            full = np.zeros(n)
-            full[f] = c
-            uni = full[:nw]
-            self.word.append(((uni + 1) / (uni.sum() + nw)).astype(np.float32))
-            self.pair.append(full[nw:-1].astype(np.float32))
-            self.head.append((uni.astype(np.float32), np.float32(full[-1])))
-
-    def losses(self, w: H.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and sums of target and background losses, of each text."""
-        word, pair, head = _classes(w, *self.bits)
-        n = np.diff(w.first)
-        out = []
-        full = np.flatnonzero(n)
-        for p_word, c_pair, (c_word, c_head) in zip(self.word, self.pair, self.head, strict=True):
-            context = np.empty(len(word), np.float32)
-            context[1:] = c_word[word[:-1]]
-            context[head] = c_head
-            seen = context > 0
-            ratio = np.divide(c_pair[pair], context, out=np.zeros_like(context), where=seen)
-            p = np.where(seen, WEIGHT * np.minimum(ratio, 1) + (1 - WEIGHT) * p_word[word], p_word[word]).astype(np.float64)
-            total = np.zeros(len(n))
-            if len(full):
-                total[full] = np.add.reduceat(-np.log(p), w.first[:-1][full])
-            out.append(total)
-        return n, out[0], out[1]
-
-
-class Counts(NamedTuple):
-    """Counts under both models (t, b) as tables, and their totals."""
-
-    pairs: list[DataFrame]  # c, w, t, b by part; c is 0 where w begins a text
-    words: DataFrame  # w, t, b
-    contexts: DataFrame  # c, t, b
-    vocabulary: int
-    total: tuple[int, int]
-
-
-def _tokens(part: int, parts: int):
-    """Columns key, c, w: the pairs of one part, with the key of their row."""
+def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, counts and inverse of the distinct (text, key)."""
+    _, at, inverse, n = np.unique(H.mix(key + H._P * (text.astype(H.U64) + H.U64(1))), return_index=True, return_inverse=True, return_counts=True)
+    return at, n, inverse
+
+
+def _near(corpus: Corpus):
+    """Of each row what heavy words decide: n_tokens, sent (tokens whose pair is not of two heavy words), losses lt and lb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, k = corpus, len(corpus.words)
         for b in batches:
-            key = b.column(1).to_numpy(zero_copy_only=False)
+            hit = _hits(b.column(1))
             for w in H.steps(b.column(0), lower=True):
-                h = H.word_hashes(w)
-                before = np.zeros(len(h), H.U64)
-                before[1:] = h[:-1]
-                before[w.first[:-1][w.first[:-1] < w.first[1:]]] = 0
-                pick = H.mix(before * H._Q + h) % H.U64(parts) == part
-                mine = np.repeat(key[w.lo : w.lo + len(w.first) - 1], np.diff(w.first))
-                yield pa.record_batch([pa.array(mine[pick]), pa.array(before[pick].view(np.int64)), pa.array(h[pick].view(np.int64))], ["key", "c", "w"])
+                s = _step(w)
+                texts = len(w.first) - 1
+                n = np.diff(w.first)
+                own = np.stack([hit[w.lo : w.lo + texts], ~hit[w.lo : w.lo + texts]])
+                j, c = _places(m.words, s)
+                both = np.flatnonzero((j >= 0) & (c >= 0))
+                sent = n - np.bincount(s.text[both], minlength=texts)
+                at, times, _ = _distinct(s.text[both], (c[both] * max(k, 1) + j[both]).astype(H.U64))
+                pair = both[at]
+                ctx = np.flatnonzero((j >= 0) & s.followed)
+                at, used, _ = _distinct(s.text[ctx], j[ctx].astype(H.U64))
+                ctx = ctx[at]
+                q = m.prior * (m.total[j[pair]] + 1) / m.mass
+                loss = []
+                for one in range(2):
+                    scale = m.scale[one]
+                    top = scale * (m.pairs[one, c[pair] * k + j[pair]] - times * own[one, s.text[pair]]) + q
+                    low = scale * (m.after[one, j[ctx]] - used * own[one, s.text[ctx]]) + m.prior
+                    begin = np.log(scale * (m.after[one, k] - own[one]) + m.prior) * (n > 0)
+                    loss.append(begin + np.bincount(s.text[ctx], used * np.log(low), texts) - np.bincount(s.text[pair], times * np.log(top), texts))
+                rest = [b.column(i).slice(w.lo, texts) for i in range(2, b.num_columns)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), pa.array(sent.astype(np.int64)), *map(pa.array, loss)], names=["id", "k", "n_tokens", "sent", "lt", "lb"])
 
     return run
 
 
-def _loss(both: Column, context: Column, word: Column, total: int, vocabulary: int) -> Column:
-    """Of a word after its context; columns hold counts, null where there is none."""
-    uni = (F.coalesce(word, F.lit(0)) + 1) / F.lit(float(total + vocabulary))
-    return -F.log(F.when(context > 0, WEIGHT * F.coalesce(both, F.lit(0)) / context + (1 - WEIGHT) * uni).otherwise(uni))
-
-
-def _losses(pairs: DataFrame, m: Counts) -> DataFrame:
-    """pairs (c, w, t, b, further columns) with the losses lt and lb in place of t and b."""
-    words = m.words.select("w", F.col("t").alias("wt"), F.col("b").alias("wb"))
-    contexts = m.contexts.select("c", F.col("t").alias("ct"), F.col("b").alias("cb"))
-    loss = [_loss(F.col(k), F.col(f"c{k}"), F.col(f"w{k}"), n, m.vocabulary).alias(f"l{k}") for k, n in zip("tb", m.total, strict=True)]
-    return pairs.join(contexts, "c", "left").join(words, "w", "left").select(*[x for x in pairs.columns if x not in "tb"], *loss)
+def _far(corpus: Corpus, part: int, parts: int):
+    """Distinct pairs of each text that are not of two heavy words: g (word, or pair if
+    the word is heavy), c (context), k (key of the text), n (times, negative in the
+    background), a (times that the word is a context, at one row of each word), hw
+    (occurrences of the word if it is heavy, else 0)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit, key = _hits(b.column(1)), b.column(2).to_numpy()
+            for w in H.steps(b.column(0), lower=True):
+                s = _step(w)
+                j, c = _places(corpus.words, s)
+                heavy = j >= 0
+                pick = ~(heavy & (c >= 0))
+                if parts > 1:
+                    pick &= (H.mix(s.h + H._Q) % H.U64(parts)) == part
+                pick = np.flatnonzero(pick)
+                pair = H.mix(s.before[pick] * H._Q + s.h[pick])
+                at, times, inverse = _distinct(s.text[pick], pair)
+                row = pick[at]
+                used = np.zeros(len(row), np.int64)
+                light = np.flatnonzero(~heavy[pick])
+                first, _, word = _distinct(s.text[pick[light]], s.h[pick[light]])
+                used[inverse[light[first]]] = np.bincount(word, s.followed[pick[light]], len(first)).astype(np.int64)
+                g = np.where(heavy[row], pair[at], s.h[row])
+                text = w.lo + s.text[row]
+                total = np.where(heavy[row], corpus.total[j[row]] if len(corpus.total) else 0, 0)
+                cols = [H.signed(g), H.signed(s.before[row]), key[text], np.where(hit[text], times, -times).astype(np.int32), used.astype(np.int32), total.astype(np.int64)]
+                for lo in range(0, len(row), 1 << 16):
+                    yield pa.record_batch([pa.array(x[lo : lo + (1 << 16)]) for x in cols], ["g", "c", "k", "n", "a", "hw"])
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+    return run
 
 
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_bits: int | None = None, pair_bits: int | None = None, parts: int = PARTS) -> Counts | Models:
-    """Models of the documents whose ids ``targets`` has, and of all others."""
+def _read_corpus(rows: DataFrame, heavy: int, prior: float) -> Corpus:
+    words = written(rows.select("text", "hit").mapInArrow(_count_words, "w long, t long, b long, ta long, ba long").groupBy("w").agg(*[F.sum(x).alias(x) for x in ("t", "b", "ta", "ba")]), "words")
+    size, t, b = words.filter("w != 0").agg(F.count("*"), F.sum("t"), F.sum("b")).first()
+    begun = words.filter("w = 0").select("ta", "ba").first() or (0, 0)
+    # ``heavy`` rows at most.
+    top = sorted((r["w"] & (2**64 - 1), *r[1:]) for r in words.filter("w != 0").orderBy(F.expr("t + b").desc(), "w").limit(heavy).collect())
+    release(words)
+    table = np.array([x[1:] for x in top], np.int64).reshape(-1, 4)
+    hashes = np.array([x[0] for x in top], H.U64)
+    after = np.append(table[:, 2:].T, np.array(begun, np.int64).reshape(2, 1), axis=1)
+    pairs = np.zeros((2, (len(top) + 1) * len(top)), np.int64)
+    if top:
+        got = rows.select("text", "hit").mapInArrow(_count_pairs(hashes), "f int, t long, b long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+        pairs[:, got["f"].to_numpy()] = got["t"].to_numpy(), got["b"].to_numpy()
+    sides = [t or 0, b or 0]
+    least = min([x for x in sides if x], default=0)
+    return Corpus(hashes, table[:, :2].sum(1), after, pairs, tuple(least / x if x else 0.0 for x in sides), float(sum(sides) + size + 1), prior)
+
+
+def _losses(rows: DataFrame, corpus: Corpus, part: int, parts: int) -> DataFrame:
+    """(k, n, lt, lb) by text, over the pairs of one part."""
+    pairs = rows.select("text", "hit", "k").mapInArrow(_far(corpus, part, parts), "g long, c long, k long, n int, a int, hw long")
+    by_pair, by_word = Window.partitionBy("g", "c"), Window.partitionBy("g")
+    mine = {"t": F.greatest("n", F.lit(0)), "b": F.greatest(-F.col("n"), F.lit(0))}
+    pairs = pairs.withColumns({f"p{x}": F.sum(v).over(by_pair) for x, v in mine.items()})
+    pairs = pairs.withColumns({f"c{x}": F.sum(F.when(v > 0, F.col("a"))).over(by_word) for x, v in mine.items()} | {"w": F.sum(F.abs("n")).over(by_word)})
+    q = (F.when(F.col("hw") > 0, F.col("hw")).otherwise(F.col("w")) + 1) * (corpus.prior / corpus.mass)
+    loss = {}
+    for x, scale in zip("tb", corpus.scale, strict=True):
+        top = F.log(scale * (F.col(f"p{x}") - mine[x]) + q)
+        low = F.log(scale * (F.coalesce(f"c{x}", F.lit(0)) - F.when(mine[x] > 0, F.col("a")).otherwise(0)) + corpus.prior)
+        loss[x] = F.col("a") * low - F.abs("n") * top
+    return pairs.groupBy("k").agg(F.sum(F.abs("n")).alias("n"), *[F.sum(v).alias(f"l{x}") for x, v in loss.items()])
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, heavy: int = HEAVY, parts: int = PARTS) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score), a row for each document.
+
+    ``targets`` has the ids of target documents in its column ``id_col``.
+    """
     named = targets.select(F.col(id_col).alias("tid")).distinct().withColumn("hit", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A merge join at every size: texts move once, whatever the size of the target list.
-    rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    if word_bits and pair_bits:
-        counts = rows.mapInArrow(_count(word_bits, pair_bits), "f int, t long, b long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-        got = counts.toArrow()  # at most 2**word_bits + 2**pair_bits + 1 rows
-        return Models(got["f"].to_numpy(), [got["t"].to_numpy(), got["b"].to_numpy()], word_bits, pair_bits)
-    rows = rows.withColumn("hit", F.col("hit").cast("long"))
-    sums = [F.sum("t").alias("t"), F.sum("b").alias("b")]
-    pairs = []
-    for part in range(parts):
-        tokens = rows.mapInArrow(_tokens(part, parts), "key long, c long, w long")
-        pairs.append(written(tokens.groupBy("c", "w").agg(F.sum("key").alias("t"), F.sum(1 - F.col("key")).alias("b")), "pairs"))
-    words = written(_union(pairs).groupBy("w").agg(*sums), "words")
-    heads = _union(pairs).filter("c = 0").agg(*[F.coalesce(x, F.lit(0)).alias(n) for x, n in zip((F.sum("t"), F.sum("b")), "tb", strict=True)])
-    contexts = words.withColumnRenamed("w", "c").union(heads.select(F.lit(0).cast("long").alias("c"), "t", "b"))
-    n, t, b = words.agg(F.count("*"), F.sum("t"), F.sum("b")).first()
-    return Counts(pairs, words, written(contexts, "contexts"), n + 1, (t or 0, b or 0))
-
-
-def score(docs: DataFrame, models: Counts | Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score), a row for each document."""
-    if isinstance(models, Models):
-        return _score_classes(docs, models, id_col, text_col)
-    texts = docs.select(F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("k"))
-    sums = [F.sum(x).alias(x) for x in ("n", "lt", "lb")]
-    known, missed = [], []
-    for part, pairs in enumerate(models.pairs):
-        tokens = texts.mapInArrow(_tokens(part, len(models.pairs)), "k long, c long, w long")
-        found = tokens.join(_losses(pairs, models), ["c", "w"], "left")
-        # Pairs that were not counted stay apart, for their words.
-        new = F.col("lt").isNull()
-        by_text = found.groupBy("k", F.when(new, F.col("c")).alias("c"), F.when(new, F.col("w")).alias("w"))
-        out = written(by_text.agg(F.count("*").alias("n"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb")), "losses")
-        known.append(out.filter("c is null").select("k", "n", "lt", "lb"))
-        missed.append(out.filter("c is not null").select("k", "c", "w", "n", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("b")))
-    backed = _losses(_union(missed), models).select("k", "n", (F.col("n") * F.col("lt")).alias("lt"), (F.col("n") * F.col("lb")).alias("lb"))
-    per = written(_union([*known, backed]).groupBy("k").agg(*sums), "losses")
-    # Rows of one text add up there: both the sums and the number of tokens.
-    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("n_tokens"), text_key(F.col(text_col)).alias("k"))
-    t, b = F.col("lt") / F.col("n"), F.col("lb") / F.col("n")
-    return rows.join(per, "k", "left").select("id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
-
-
-def _score_classes(docs: DataFrame, models: Models, id_col: str, text_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for b in batches:
-            for w in H.steps(b.column(1), lower=True):
-                n, t, g = m.losses(w)
-                none = n == 0
-                per = np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(w.lo, len(n)), pa.array(n.astype(np.int64)), *[pa.array(x / per, mask=none) for x in (t, g, t - g)]],
-                    names=["id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, target_loss double, background_loss double, score double")
+    rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+    rows = written(rows.withColumn("k", F.xxhash64(text_key(F.col("text")), "hit")), "sides")
+    corpus = _read_corpus(rows, heavy, prior)
+    far = [written(_losses(rows, corpus, part, parts), "losses") for part in range(parts)]
+    far = reduce(DataFrame.unionByName, far).groupBy("k").agg(*[F.sum(x).alias(x) for x in ("n", "lt", "lb")])
+    far = far.select(F.col("k").alias("fk"), "n", F.col("lt").alias("ft"), F.col("lb").alias("fb"))
+    near = rows.select("text", "hit", "id", "k").mapInArrow(_near(corpus), f"id {rows.schema['id'].dataType.simpleString()}, k long, n_tokens long, sent long, lt double, lb double")
+    out = near.join(far, near["k"] == far["fk"], "left")
+    # Rows of one text and side have added up there: tokens tell how many they are.
+    share = F.coalesce(F.col("sent") / F.col("n"), F.lit(0.0))
+    t, b = [(F.col(f"l{x}") + F.coalesce(F.col(f"f{x}") * share, F.lit(0.0))) / F.col("n_tokens") for x in "tb"]
+    t, b = F.when(F.col("n_tokens") > 0, t), F.when(F.col("n_tokens") > 0, b)
+    return out.select("id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

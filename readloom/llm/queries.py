@@ -19,11 +19,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents of quality 1; background: all others."""
-    from readloom.llm.lm_score import fit, score
+    from readloom.llm.lm_score import cross_entropy_difference
 
-    docs = _read(spark, sf_dir, "documents")
-    models = fit(docs, _read(spark, sf_dir, "labels").filter("quality = 1"))
-    return score(docs, models).withColumnRenamed("id", "doc_id")
+    out = cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").filter("quality = 1"))
+    return out.withColumnRenamed("id", "doc_id")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
