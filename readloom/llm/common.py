@@ -68,8 +68,10 @@ def _tidy(spark: SparkSession) -> None:
     """Spark drops the shuffle files of plans that neither side holds any more."""
     global _tidied
     if time.monotonic() - _tidied > TIDY_S:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)  # listeners hold a plan for a moment after its end
         _tidied = time.monotonic()
 
 

@@ -16,7 +16,7 @@ background loss, in nats: low is close to the target.
 Counts are exact, by 64-bit hashes of words and contexts, and grow with the corpus.
 One shuffle brings all occurrences of a word together, sorted by context, where sums
 over groups (which spill) give pair, word and context counts at once; the losses go
-back summed by text. The ``heavy`` most frequent words are known to every task:
+back summed by document. The ``heavy`` most frequent words are known to every task:
 pairs of two of them are counted in arrays of fixed size and never shuffled, pairs
 of one of them are dealt by the pair. So no key has more rows than the next most
 frequent word, 1 / ``heavy`` of all at most. Words are dealt into ``parts`` parts, one
@@ -25,7 +25,7 @@ after the other, which bounds the disk of the shuffle.
 Defined cases: texts without words (null and empty ones) have 0 tokens and null
 losses; a document counts as target once however many target rows name it, null ids
 name none; without documents of one side that model is the shared unigram model;
-rows of one text and side share their losses, each row trains the models.
+each of repeated rows trains the models and leaves out its own counts only.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
-from readloom.llm.common import release, text_key, written
+from readloom.llm.common import release, written
 
 PRIOR = 50.0  # tokens of evidence that the shared unigram model stands for
 HEAVY = 512
-PARTS = 2
+PARTS = 4
 _HOLD = 1 << 20  # words that a task aggregates before it sends counts
 
 
@@ -158,7 +158,7 @@ def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _near(corpus: Corpus):
-    """Of each row what heavy words decide: n_tokens, sent (tokens whose pair is not of two heavy words), losses lt and lb."""
+    """Of each row what heavy words decide: n_tokens, losses lt and lb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k = corpus, len(corpus.words)
@@ -171,7 +171,6 @@ def _near(corpus: Corpus):
                 own = np.stack([hit[w.lo : w.lo + texts], ~hit[w.lo : w.lo + texts]])
                 j, c = _places(m.words, s)
                 both = np.flatnonzero((j >= 0) & (c >= 0))
-                sent = n - np.bincount(s.text[both], minlength=texts)
                 at, times, _ = _distinct(s.text[both], (c[both] * max(k, 1) + j[both]).astype(H.U64))
                 pair = both[at]
                 ctx = np.flatnonzero((j >= 0) & s.followed)
@@ -186,16 +185,16 @@ def _near(corpus: Corpus):
                     begin = np.log(scale * (m.after[one, k] - own[one]) + m.prior) * (n > 0)
                     loss.append(begin + np.bincount(s.text[ctx], used * np.log(low), texts) - np.bincount(s.text[pair], times * np.log(top), texts))
                 rest = [b.column(i).slice(w.lo, texts) for i in range(2, b.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), pa.array(sent.astype(np.int64)), *map(pa.array, loss)], names=["id", "k", "n_tokens", "sent", "lt", "lb"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), *map(pa.array, loss)], names=["id", "k", "n_tokens", "lt", "lb"])
 
     return run
 
 
 def _far(corpus: Corpus, part: int, parts: int):
     """Distinct pairs of each text that are not of two heavy words: g (word, or pair if
-    the word is heavy), c (context), k (key of the text), n (times, negative in the
-    background), a (times that the word is a context, at one row of each word), hw
-    (occurrences of the word if it is heavy, else 0)."""
+    the word is heavy), c (context: a heavy one's number; 0 if g says it), k (number of
+    the row), n (times, negative in the background), a (times that the word is a
+    context, at one row of each word), hw (occurrences of the word if it is heavy, else 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,9 +215,10 @@ def _far(corpus: Corpus, part: int, parts: int):
                 first, _, word = _distinct(s.text[pick[light]], s.h[pick[light]])
                 used[inverse[light[first]]] = np.bincount(word, s.followed[pick[light]], len(first)).astype(np.int64)
                 g = np.where(heavy[row], pair[at], s.h[row])
+                ctx = np.where(heavy[row], H.U64(0), np.where(c[row] >= 0, (c[row] + 1).astype(H.U64), s.before[row]))
                 text = w.lo + s.text[row]
                 total = np.where(heavy[row], corpus.total[j[row]] if len(corpus.total) else 0, 0)
-                cols = [H.signed(g), H.signed(s.before[row]), key[text], np.where(hit[text], times, -times).astype(np.int32), used.astype(np.int32), total.astype(np.int64)]
+                cols = [H.signed(g), H.signed(ctx), key[text], np.where(hit[text], times, -times).astype(np.int32), used.astype(np.int32), total.astype(np.int64)]
                 for lo in range(0, len(row), 1 << 16):
                     yield pa.record_batch([pa.array(x[lo : lo + (1 << 16)]) for x in cols], ["g", "c", "k", "n", "a", "hw"])
 
@@ -245,8 +245,8 @@ def _read_corpus(rows: DataFrame, heavy: int, prior: float) -> Corpus:
 
 
 def _losses(rows: DataFrame, corpus: Corpus, part: int, parts: int) -> DataFrame:
-    """(k, n, lt, lb) by text, over the pairs of one part."""
-    pairs = rows.select("text", "hit", "k").mapInArrow(_far(corpus, part, parts), "g long, c long, k long, n int, a int, hw long")
+    """(k, lt, lb) by row, over the pairs of one part."""
+    pairs = rows.select("text", "hit", "k").mapInArrow(_far(corpus, part, parts), "g long, c long, k long, n int, a int, hw long").repartition("g")
     by_pair, by_word = Window.partitionBy("g", "c"), Window.partitionBy("g")
     mine = {"t": F.greatest("n", F.lit(0)), "b": F.greatest(-F.col("n"), F.lit(0))}
     pairs = pairs.withColumns({f"p{x}": F.sum(v).over(by_pair) for x, v in mine.items()})
@@ -257,7 +257,7 @@ def _losses(rows: DataFrame, corpus: Corpus, part: int, parts: int) -> DataFrame
         top = F.log(scale * (F.col(f"p{x}") - mine[x]) + q)
         low = F.log(scale * (F.coalesce(f"c{x}", F.lit(0)) - F.when(mine[x] > 0, F.col("a")).otherwise(0)) + corpus.prior)
         loss[x] = F.col("a") * low - F.abs("n") * top
-    return pairs.groupBy("k").agg(F.sum(F.abs("n")).alias("n"), *[F.sum(v).alias(f"l{x}") for x, v in loss.items()])
+    return pairs.groupBy("k").agg(*[F.sum(v).alias(f"l{x}") for x, v in loss.items()])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, heavy: int = HEAVY, parts: int = PARTS) -> DataFrame:
@@ -269,15 +269,11 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A merge join at every size: texts move once, whatever the size of the target list.
     rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    rows = written(rows.withColumn("k", F.xxhash64(text_key(F.col("text")), "hit")), "sides")
+    rows = written(rows.withColumn("k", F.monotonically_increasing_id()), "sides")
     corpus = _read_corpus(rows, heavy, prior)
     far = [written(_losses(rows, corpus, part, parts), "losses") for part in range(parts)]
-    far = reduce(DataFrame.unionByName, far).groupBy("k").agg(*[F.sum(x).alias(x) for x in ("n", "lt", "lb")])
-    far = far.select(F.col("k").alias("fk"), "n", F.col("lt").alias("ft"), F.col("lb").alias("fb"))
-    near = rows.select("text", "hit", "id", "k").mapInArrow(_near(corpus), f"id {rows.schema['id'].dataType.simpleString()}, k long, n_tokens long, sent long, lt double, lb double")
+    far = reduce(DataFrame.unionByName, far).groupBy(F.col("k").alias("fk")).agg(F.sum("lt").alias("ft"), F.sum("lb").alias("fb"))
+    near = rows.select("text", "hit", "id", "k").mapInArrow(_near(corpus), f"id {rows.schema['id'].dataType.simpleString()}, k long, n_tokens long, lt double, lb double")
     out = near.join(far, near["k"] == far["fk"], "left")
-    # Rows of one text and side have added up there: tokens tell how many they are.
-    share = F.coalesce(F.col("sent") / F.col("n"), F.lit(0.0))
-    t, b = [(F.col(f"l{x}") + F.coalesce(F.col(f"f{x}") * share, F.lit(0.0))) / F.col("n_tokens") for x in "tb"]
-    t, b = F.when(F.col("n_tokens") > 0, t), F.when(F.col("n_tokens") > 0, b)
+    t, b = [F.when(F.col("n_tokens") > 0, (F.col(f"l{x}") + F.coalesce(f"f{x}", F.lit(0.0))) / F.col("n_tokens")) for x in "tb"]
     return out.select("id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))

@@ -44,7 +44,7 @@ def corpus(seed=4):
     return docs + [(1000, None), (1001, docs[3][1]), (1002, "one"), (1003, docs[100][1]), (1003, docs[100][1]), (None, "the end one"), (1004, " \t"), (1005, "end " * 5000)]
 
 
-@pytest.mark.parametrize(("heavy", "parts"), [(0, 1), (1, 2), (20, 3), (512, 1), (10_000, 2)])
+@pytest.mark.parametrize(("heavy", "parts"), [(0, 1), (20, 3), (512, 2)])
 def test_losses_are_those_of_exact_counts(spark, heavy, parts):
     docs, hit = corpus(), {*range(40), 1003}
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as k", "3 as hit", "4 as n").repartition(3)
