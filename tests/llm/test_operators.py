@@ -371,7 +371,7 @@ def test_quotes(spark):
 
 
 def test_repeats(edge, empty):
-    got = rows_of(substring.remove_repeats(edge).select("doc_id", F.col("n_words").cast("long").alias("n"), "n_removed", F.sha2("text", 256).alias("h")), "doc_id", "n", "n_removed", "h")
+    got = rows_of(substring.remove_repeats(edge, batches=2).select("doc_id", F.col("n_words").cast("long").alias("n"), "n_removed", F.sha2("text", 256).alias("h")), "doc_id", "n", "n_removed", "h")
     assert got == sorted(brute.repeats(DOCS), key=str)
     assert substring.remove_repeats(empty).count() == 0
 
@@ -395,15 +395,58 @@ def test_repeats_in_many_shapes(spark):
 
 
 def test_index_over_batches(spark, tmp_path):
-    p = " ".join(f"w{i}" for i in range(40))
-    one = spark.createDataFrame([(1, p + " a b"), (2, "c d e")], "doc_id long, text string")
-    two = spark.createDataFrame([(3, "x " + p), (4, " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string")
-    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index")
-    first = {r.doc_id: r.n_removed for r in substring.remove_repeats(one, index=index).collect()}
-    second = {r.doc_id: r.n_removed for r in substring.remove_repeats(two, index=index, history=one).collect()}
-    assert first == {1: 0, 2: 0} and second == {3: 40, 4: 0}
-    assert len(index.runs()) == 2
+    passage = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    batches = [
+        [(1, passage("w") + " a b"), (2, "c d e"), (20, passage("u", 80))],
+        [(3, "x " + passage("w")), (4, passage("v", 60))],
+        [(5, passage("y")), (1, "other text of one id " + passage("v", 60)), (6, passage("u", 50) + " z")],
+        [(7, passage("w")), (8, passage("y") + " tail"), (9, "b " + passage("y")), (9, "b " + passage("y")), (None, passage("v", 36)), (10, "q " + passage("u", 80)[12:])],
+    ]
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    seen, gone = [], {}
+    for i, rows in enumerate(batches):
+        old = df(seen) if seen else None
+        if i == 2:  # added twice under one number: counted once
+            index.add(df(rows), history=old, batch=2)
+        for r in index.add(df(rows), history=old, batch=i).collect():
+            gone.setdefault((r.id, r.k), set()).update(r["at"] + o + j for o in range(62) if r["mask"] >> o & 1 for j in range(35))
+        if i:
+            assert all(p.count("Exchange") == 0 and "SortMergeJoin" in p for p in map(executed, index.plans))
+        seen += rows
+        if i == 1:
+            index.compact()
+            assert len(index.runs()) == 1
+    with pytest.raises(ValueError):
+        index.add(df(batches[0]), history=df(seen), batch=0)
+    with pytest.raises(ValueError):
+        index.add(df(batches[0]))
+    key = {(r.doc_id, r.text): r.k for r in df(seen).select("doc_id", "text", substring.text_key(F.col("text")).alias("k")).collect()}
+    got = sorted(((i, len(t.split()), len(gone.get((i, key[i, t]), ()))) for i, t in seen), key=str)
+    assert got == sorted([x[:3] for x in brute.repeats(seen)], key=str)
+    assert len(index.runs()) == 3
+
+
+def executed(plan):
+    return plan[plan.index("== Physical Plan ==") :]
+
+
+def test_index_survives_an_interrupted_writer(spark, tmp_path):
+    import os
+    import shutil
+
+    df = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    text = " ".join(f"w{i}" for i in range(60))
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    index.add(df((1, text)))
+    index.add(df((2, "x y")), history=df((1, text)))
+    one = [r.path[5:] for r in index.runs()]
+    shutil.copytree(one[0], f"{tmp_path}/kept")
     index.compact()
-    assert len(index.runs()) == 1
-    third = {r.doc_id: r.n_removed for r in substring.remove_repeats(one.filter("doc_id = 1"), index=index, history=two).collect()}
-    assert third == {1: 40}
+    shutil.copytree(f"{tmp_path}/kept", one[0])  # a compaction that died before it dropped its input
+    half = f"{tmp_path}/index/run-000002-000002-of-2"  # a run that was never finished
+    os.makedirs(half)
+    assert [(r.low, r.high) for r in index.runs()] == [(0, 1)]
+    marks = index.add(df((3, text)), history=df((1, text), (2, "x y"))).collect()
+    assert {r.id for r in marks} == {1, 3}
+    assert [(r.low, r.high) for r in index.runs()] == [(0, 1), (2, 2)]
