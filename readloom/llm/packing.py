@@ -1,25 +1,33 @@
 """Mixture-controlled packing of token sequences.
 
-Documents are tokenised where they are read and dealt over packing partitions by
-a hash of document id and text. Inside a partition the documents of a source form
+Documents are tokenised where they are read, written as token ids and dealt over
+packing partitions by a hash. Inside a partition the documents of a source form
 a queue, and deficit round-robin fills sequence after sequence: in each round a
 source's deficit grows by its share of a sequence, and a source whose deficit
 covers its next packet (a document's next tokens, ``packet`` at most) is served.
 Deficits stay over the ends of sequences. A document is cut where a sequence is
 full, so all sequences of a partition are full.
 
+Deficits are carried from partition to partition: partition p starts with what the
+mixture owes each source after all earlier partitions, its share of their tokens less
+its own tokens there. Both are prefix sums over a table of a row for each
+partition and source, so partitions need not wait for each other. The mixture is
+``shares`` or, by default, the sources' shares of all tokens: the one mixture
+that every window can hold while every document is packed. Shares and deficits come
+to a partition as rows; there is no limit to the number of sources.
+
 When sources of more than ``slack`` of the mixture have run dry, the partition
 stops: what is left goes, with its deficits, to a second level of fewer
 partitions, in which the deficits of several first-level partitions add up and
 packing goes on until all queues are empty. The last tokens of such a partition
 form sequences of powers of two, which need no padding.
 
-A task holds the token ids of one packing partition (``part_bytes`` of text), in
-the second level those of what FAN partitions left.
+A task holds the token ids of a packing partition (about ``part_tokens``; of those
+that a hash gives it, as the second level holds what FAN partitions left).
 
 Defined cases: null text is empty; every document ends with ``end_id``, so an
 empty one has one token; a null source is a source of its own; repeated rows are
-documents of their own and go to one partition, a piece for each.
+documents of their own, spread over the partitions.
 """
 
 from __future__ import annotations
@@ -31,14 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import text_key, written
+from readloom.llm.common import release, text_key, written
 from readloom.llm.encoding import encoder
 
 FAN = 16  # first-level partitions that share one of the second level
-PART_BYTES = 24 << 20
+PART_TOKENS = 4 << 20
 
 
 def _tokenise(path: str, by_chunk: bool, end_id: int):
@@ -129,39 +137,28 @@ def _powers(pieces: list, size: int) -> Iterator[list]:
 
 
 _PIECE = ["id", "k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-_ALL = [*_PIECE, "kind", "part", "source", "ids", "deficit"]
+_ALL = [*_PIECE, "kind", "part", "source", "ids", "deficit", "share"]
 
 
-def _pack(id_type: pa.DataType, dtype: str, share_of: dict, size: int, packet: int, slack: float, level: int):
-    """Packs one partition. Rows in: id, k, source, ids, start, doc_tokens, kind, deficit."""
-    kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.float64()]
+def _pack(id_type: pa.DataType, dtype: str, size: int, packet: int, slack: float, level: int):
+    """Packs partitions. Rows in: id, k, source, ids, start, doc_tokens, kind, part, deficit, share."""
+    kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.float64(), pa.float64()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_ALL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        docs, owed = [], {}
-        for b in batches:
-            for i, k, source, ids, start, total, kind, d in zip(*[b.column(c).to_pylist() for c in range(8)], strict=True):
-                if kind == "deficit":
-                    owed[source] = owed.get(source, 0.0) + d
-                else:
-                    docs.append((i, k, np.frombuffer(ids, dtype), start or 0, total or len(ids) // np.dtype(dtype).itemsize, source))
-        if not docs:
-            return
+    def one(part: int, docs: list[tuple], owed: dict, shares: dict) -> Iterator[pa.RecordBatch]:
         docs.sort(key=lambda x: (x[0] is None, x[0], x[1], x[3]))
         names = sorted({x[5] for x in docs} | set(owed), key=lambda s: (s is None, s))
         number = {s: j for j, s in enumerate(names)}
         queues = [_Queue() for _ in names]
         for x in docs:
             queues[number[x[5]]].items.append(x)
-        share = np.array([max(share_of.get(s, 0.0), 1e-6) for s in names])
+        share = np.array([max(shares.get(s, 0.0), 1e-6) for s in names])
         share /= share.sum()
-        deficit = np.array([owed.get(s, 0.0) for s in names])
+        begin = np.array([owed.get(s, 0.0) for s in names])
+        deficit = begin.copy()
         base = (level << 62 >> 1 if level else 0) + (part << 32)
         rows, made = [], 0
         for full in deficit_round_robin(queues, share, deficit, size, packet, slack, bool(level)):
@@ -169,7 +166,7 @@ def _pack(id_type: pa.DataType, dtype: str, share_of: dict, size: int, packet: i
                 offset = 0
                 for doc, a, b in pieces:
                     crc = zlib.crc32(doc[2][a:b].astype("<u4").tobytes())
-                    rows.append((doc[0], doc[1], doc[3] + a, b - a, crc, doc[4], base + made, offset, "piece", part, None, None, None))
+                    rows.append((doc[0], doc[1], doc[3] + a, b - a, crc, doc[4], base + made, offset, "piece", part, None, None, None, None))
                     offset += b - a
                 made += 1
             if len(rows) > 5000:
@@ -178,18 +175,45 @@ def _pack(id_type: pa.DataType, dtype: str, share_of: dict, size: int, packet: i
         for s, q in zip(names, queues, strict=True):
             for j, doc in enumerate(q.items):
                 a = q.at if j == 0 else 0
-                rows.append((doc[0], doc[1], doc[3] + a, None, None, doc[4], None, None, "rest", part, s, doc[2][a:].tobytes(), None))
+                rows.append((doc[0], doc[1], doc[3] + a, None, None, doc[4], None, None, "rest", part, s, doc[2][a:].tobytes(), None, None))
                 if len(rows) > 500:
                     yield batch(rows)
                     rows = []
-            if not level:
-                rows.append((None, None, None, None, None, None, None, None, "deficit", part, s, None, float(deficit[number[s]])))
+            if not level:  # what this partition adds to the debt
+                j = number[s]
+                rows.append((None, None, None, None, None, None, None, None, "deficit", part, s, None, float(deficit[j] - begin[j]), float(shares.get(s, 0.0))))
         if rows:
             yield batch(rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, tuple[list, dict, dict]] = {}
+        for b in batches:
+            for i, k, source, ids, start, total, kind, part, d, share in zip(*[b.column(c).to_pylist() for c in range(10)], strict=True):
+                docs, owed, shares = parts.setdefault(part, ([], {}, {}))
+                if kind == "deficit":
+                    owed[source], shares[source] = owed.get(source, 0.0) + d, share
+                else:
+                    docs.append((i, k, np.frombuffer(ids, dtype), start or 0, total or len(ids) // np.dtype(dtype).itemsize, source))
+        for part in sorted(parts):
+            docs, owed, shares = parts.pop(part)
+            if docs:
+                yield from one(part, docs, owed, shares)
+
     return run
 
 
+def carried(per: DataFrame, shares: DataFrame) -> DataFrame:
+    """(part, source, deficit, share): what the mixture owes a source before each
+    partition that has it, from (part, source, t) and (source, share)."""
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # A row a partition.
+    totals = per.groupBy("part").agg(F.sum("t").alias("t")).select(F.col("part").alias("tp"), F.coalesce(F.sum("t").over(before.orderBy("part")), F.lit(0)).alias("all"))
+    own = per.withColumn("own", F.coalesce(F.sum("t").over(before.partitionBy("source").orderBy("part")), F.lit(0)))
+    shares = shares.select(F.col("source").alias("ss"), "share")
+    out = own.join(totals, own["part"] == totals["tp"]).join(shares, own["source"].eqNullSafe(shares["ss"]), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return out.select("part", "source", (F.col("share") * F.col("all") - F.col("own")).alias("deficit"), "share")
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -202,37 +226,39 @@ def pack(
     by_chunk: bool = True,
     packet: int = 512,
     slack: float = 0.1,
-    part_bytes: int = PART_BYTES,
+    part_tokens: int = PART_TOKENS,
 ) -> DataFrame:
     """(id, k, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row a piece.
 
-    ``shares`` is the mixture that sequences aim at (source to weight; default:
-    the sources' bytes, so that all queues end together). ``by_chunk`` must be
-    false for tokenizers that see white space as part of tokens. The shares of at
-    most MAX_SOURCES sources by bytes go to the tasks; those beyond share alike.
+    ``shares`` is the mixture that sequences aim at (source to weight; default: the
+    sources' shares of all tokens). ``by_chunk`` must be false for tokenizers that see
+    white space as part of tokens.
     """
-    id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    size_of = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    per = rows.groupBy("source").agg(F.sum(size_of).alias("b"))
-    total = per.agg(F.sum("b")).first()[0] or 0
-    if shares is None:
-        shares = {r["source"]: r["b"] / total for r in per.orderBy(F.desc("b"), F.col("source")).limit(MAX_SOURCES).collect()}
-    whole = sum(shares.values()) or 1.0
-    shares = {s: v / whole for s, v in shares.items()}
-    parts = max(1, math.ceil(total / part_bytes))
-    dtype = encoder(tokenizer, by_chunk).dtype.str
     from pyspark.sql.pandas.types import to_arrow_type
 
+    spark = docs.sparkSession
+    id_type = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    dtype = encoder(tokenizer, by_chunk).dtype
     arrow = to_arrow_type(docs.schema[id_col].dataType)
-    tokens = rows.mapInArrow(_tokenise(tokenizer, by_chunk, end_id), f"id {id_type}, k long, source string, ids binary")
-    kind = f"id {id_type}, k long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kind string, part int, source string, ids binary, deficit double"
-    none = F.lit(None)
-    first = tokens.repartition(parts, "id", "k").select("id", "k", "source", "ids", none.cast("long").alias("start"), none.cast("long").alias("doc_tokens"), F.lit("doc").alias("kind"), none.cast("double").alias("deficit"))
-    one = written(first.mapInArrow(_pack(arrow, dtype, shares, size, packet, slack, 0), kind), "packed")
-    rest = one.filter("kind != 'piece'").repartitionByRange(max(1, math.ceil(parts / FAN)), "part")
-    two = rest.select("id", "k", "source", "ids", "start", "doc_tokens", "kind", "deficit").mapInArrow(_pack(arrow, dtype, shares, size, packet, slack, 1), kind)
+    tokens = written(rows.mapInArrow(_tokenise(tokenizer, by_chunk, end_id), f"id {id_type}, k long, source string, ids binary"), "tokens")
+    size_of = F.expr(f"octet_length(ids) div {dtype.itemsize}")
+    total = tokens.agg(F.sum(size_of)).first()[0] or 0
+    parts = max(1, math.ceil(total / part_tokens))
+    dealt = tokens.withColumn("part", F.pmod(F.xxhash64("id", "k", F.monotonically_increasing_id()), F.lit(parts)))
+    per = dealt.groupBy("part", "source").agg(F.sum(size_of).alias("t"))
+    if shares is None:
+        mixture = per.groupBy("source").agg((F.sum("t") / F.lit(float(max(total, 1)))).alias("share"))
+    else:
+        whole = sum(shares.values()) or 1.0
+        mixture = spark.createDataFrame([(s, v / whole) for s, v in shares.items()], "source string, share double")
+    none = lambda kind: F.lit(None).cast(kind)
+    columns = ["id", "k", "source", "ids", "start", "doc_tokens", "kind", "part", "deficit", "share"]
+    first = dealt.select("id", "k", "source", "ids", none("long").alias("start"), none("long").alias("doc_tokens"), F.lit("doc").alias("kind"), "part", none("double").alias("deficit"), none("double").alias("share"))
+    owed = carried(per, mixture).select(none(id_type).alias("id"), none("long").alias("k"), "source", none("binary").alias("ids"), none("long").alias("start"), none("long").alias("doc_tokens"), F.lit("deficit").alias("kind"), "part", "deficit", "share")
+    kind = f"id {id_type}, k long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, kind string, part long, source string, ids binary, deficit double, share double"
+    one = written(first.unionByName(owed).repartition(parts, "part").mapInArrow(_pack(arrow, dtype.str, size, packet, slack, 0), kind), "packed")
+    release(tokens)
+    rest = one.filter("kind != 'piece'").withColumn("part", F.floor(F.col("part") / FAN)).select(*columns)
+    two = rest.repartition(max(1, math.ceil(parts / FAN)), "part").mapInArrow(_pack(arrow, dtype.str, size, packet, slack, 1), kind)
     return one.filter("kind = 'piece'").select(*_PIECE).unionByName(two.select(*_PIECE))
-
-
-MAX_SOURCES = 10_000

@@ -103,6 +103,26 @@ def test_mix_meets_targets(spark):
     assert all(abs(r.t - r.w) <= 3 for r in out)
 
 
+def test_draw_is_the_sample_by_keys(spark):
+    """Keys from the rows, then epochs and prefix in plain Python: but for the closing documents the same."""
+    rng = random.Random(2)
+    docs = [(i, "w " * rng.choice([0, 1, 5, 40, 300]), rng.choice("aabc")) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    q = df.selectExpr("doc_id", "case when doc_id % 3 = 0 then 2.0D else 0.5D end as weight")
+    got = mixing.mix_sources(df, quality=q, buckets=8).collect()
+    u = {r.doc_id: (r.h & (2**64 - 1)) >> 11 for r in df.select("doc_id", F.xxhash64(F.lit(11), "doc_id").alias("h")).collect()}
+    key = lambda r: (-math.log((u[r.id] + 0.5) / 2**53) / (2.0 if r.id % 3 == 0 else 0.5), r.id)
+    for s in "abc":
+        own = sorted([r for r in got if r.source == s and r.size], key=key)
+        target, size = own[0].target, own[0].source_size
+        whole = min(3, int(target / size + 1e-9))
+        left, differ = target - whole * size, 0
+        for r in own:
+            left -= r.size
+            differ += r.taken != (whole + (whole < 3 and left >= 0)) * r.size
+        assert differ <= mixing.CLOSING
+
+
 def test_good_documents_are_drawn_first(spark):
     df = spark.createDataFrame([(i, "a b c", "s" if i < 2000 else "t") for i in range(2200)], "doc_id long, text string, source string")
     q = df.selectExpr("doc_id", "case when doc_id % 2 = 0 then 4.0D else 1.0D end as weight")
@@ -146,9 +166,9 @@ def test_encoder_equals_the_tokenizer():
     assert [np.frombuffer(x, whole.dtype).tolist() for a in whole.encode(pa.array(texts[:50]), 1) for x in a.to_pylist()] == reference_ids(texts[:50])
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 10, 1 << 24])
-def test_pack_round_trip(spark, edge, empty, part_bytes):
-    pieces = packing.pack(edge, TOKENIZER, part_bytes=part_bytes, size=256, packet=64).collect()
+@pytest.mark.parametrize("part_tokens", [500, 1 << 22])
+def test_pack_round_trip(spark, edge, empty, part_tokens):
+    pieces = packing.pack(edge, TOKENIZER, part_tokens=part_tokens, size=256, packet=64).collect()
     ids = {}
     for (i, t), x in zip(DOCS, reference_ids([t for _, t in DOCS]), strict=True):
         ids.setdefault((i, t), x)
@@ -195,6 +215,19 @@ def test_windows_hold_the_mixture():
     assert total > 150_000 and worst <= 3 * 512
 
 
+def test_deficits_are_carried_from_partition_to_partition(spark):
+    rng = random.Random(12)
+    per = [(p, s, rng.randint(1, 900)) for p in range(6) for s in ("a", "b", None) if rng.random() < 0.8]
+    total = sum(t for *_, t in per)
+    share = {s: sum(t for _, x, t in per if x == s) / total for s in ("a", "b", None)}
+    tables = spark.createDataFrame(per, "part long, source string, t long"), spark.createDataFrame(list(share.items()), "source string, share double")
+    got = {(r.part, r.source): (r.deficit, r.share) for r in packing.carried(*tables).collect()}
+    assert len(got) == len(per)
+    for p, s, _ in per:
+        want = share[s] * sum(t for q, _, t in per if q < p) - sum(t for q, x, t in per if q < p and x == s)
+        assert math.isclose(got[p, s][0], want, abs_tol=1e-6) and math.isclose(got[p, s][1], share[s])
+
+
 # 5
 
 
