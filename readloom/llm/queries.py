@@ -78,7 +78,7 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.quotes import link_quotes
 
     out = link_quotes(_read(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "root", "depth", "reply_to", "n_quoted", "n_linked", "max_level", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("conv_id", "turn", "role", "root", "depth", "position", "reply_to", "n_quoted", "n_linked", "max_level", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,26 +164,55 @@ parsed AS (
          CAST(length(translate(regexp_extract(line, '^([ \t]*>)+'), ' ' || chr(9), '')) AS INTEGER) AS level,
          {_LOWER.format("array_to_string(regexp_extract_all(regexp_replace(line, '^([ " + chr(92) + "t]*>)+', ''), '[^" + chr(92) + "x20" + chr(92) + "x09-" + chr(92) + "x0D]+'), ' ')")} AS norm
   FROM lines),
-firsts AS (SELECT conv_id, norm, min(turn) AS origin FROM parsed WHERE level = 0 AND length(norm) >= 12 GROUP BY ALL),
+kinds AS (SELECT *, CASE WHEN level = 0 AND norm = '' THEN -1 ELSE level END AS kind FROM parsed),
+cut AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY pos) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM kinds),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM cut),
+runs AS (SELECT conv_id, turn, run, kind AS level, string_agg(norm, ' ' ORDER BY pos) AS norm FROM numbered WHERE kind >= 0 AND norm <> '' GROUP BY ALL),
+passages AS (SELECT *, string_split(norm, ' ') AS w, len(string_split(norm, ' ')) AS m FROM runs WHERE level > 0),
+bodies AS (SELECT conv_id, turn, string_agg(norm, ' ' ORDER BY run) AS norm FROM runs WHERE level = 0 GROUP BY ALL),
+blocks AS (SELECT conv_id, norm, min(turn) AS origin FROM runs WHERE level = 0 GROUP BY ALL),
+whole AS (
+  SELECT p.*, b.origin FROM passages p LEFT JOIN blocks b ON p.conv_id = b.conv_id AND p.norm = b.norm AND b.origin < p.turn),
+asked AS (
+  SELECT conv_id, turn, run, least(m, 5) AS l, unnest(list_distinct([array_to_string(w[i:i + least(m, 5) - 1], ' ') for i in range(1, m - least(m, 5) + 2)])) AS g
+  FROM whole WHERE origin IS NULL),
+held AS (
+  SELECT conv_id, turn, l, unnest([array_to_string(w[i:i + l - 1], ' ') for i in range(1, len(w) - l + 2)]) AS g
+  FROM (SELECT conv_id, turn, string_split(norm, ' ') AS w FROM bodies) b, (SELECT unnest([1, 2, 3, 4, 5]) AS l) s),
+first_held AS (SELECT conv_id, l, g, min(turn) AS origin FROM held GROUP BY ALL),
+votes AS (
+  SELECT a.conv_id, a.turn, a.run, f.origin, count(*) AS n
+  FROM asked a JOIN first_held f ON a.conv_id = f.conv_id AND a.l = f.l AND a.g = f.g WHERE f.origin < a.turn GROUP BY ALL),
+named AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn, run ORDER BY n DESC, origin DESC) = 1),
+inside AS (
+  SELECT n.conv_id, n.turn, n.run, n.origin
+  FROM named n JOIN passages p ON n.conv_id = p.conv_id AND n.turn = p.turn AND n.run = p.run
+  JOIN bodies b ON b.conv_id = n.conv_id AND b.turn = n.origin WHERE contains(' ' || b.norm || ' ', ' ' || p.norm || ' ')),
+through AS (SELECT conv_id, norm, level, min(turn) AS via FROM passages GROUP BY ALL),
 linked AS (
-  SELECT p.conv_id, p.turn, p.level, f.origin
-  FROM parsed p LEFT JOIN firsts f ON p.conv_id = f.conv_id AND p.norm = f.norm AND length(p.norm) >= 12 AND f.origin < p.turn
-  WHERE p.level > 0 AND p.norm <> ''),
-by_origin AS (SELECT conv_id, turn, origin, count(*) AS n, min(level) AS low, max(level) AS high FROM linked GROUP BY ALL),
+  SELECT w.conv_id, w.turn, w.level, w.m,
+         CASE WHEN coalesce(w.origin, i.origin) IS NOT NULL THEN coalesce(t.via, w.origin, i.origin) END AS target
+  FROM whole w LEFT JOIN inside i ON w.conv_id = i.conv_id AND w.turn = i.turn AND w.run = i.run
+  LEFT JOIN through t ON t.conv_id = w.conv_id AND t.norm = w.norm AND t.level = w.level - 1 AND t.via < w.turn),
+by_target AS (SELECT conv_id, turn, target, count(*) AS n, sum(m) AS words, min(level) AS low, max(level) AS high FROM linked GROUP BY ALL),
 per AS (
-  SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN origin IS NULL THEN 0 ELSE n END) AS n_linked, max(high) AS max_level FROM by_origin GROUP BY ALL),
+  SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN target IS NULL THEN 0 ELSE n END) AS n_linked, max(high) AS max_level FROM by_target GROUP BY ALL),
 parent AS (
-  SELECT conv_id, turn, origin AS reply_to FROM by_origin WHERE origin IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY low, n DESC, origin DESC) = 1),
-up AS (
-  SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM parent
-  UNION ALL SELECT u.conv_id, u.turn, p.reply_to, u.depth + 1 FROM up u JOIN parent p ON p.conv_id = u.conv_id AND p.turn = u.root),
-top AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+  SELECT conv_id, turn, target AS reply_to FROM by_target WHERE target IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY low, words DESC, target DESC) = 1),
+tree AS (
+  SELECT DISTINCT conv_id, reply_to AS turn, reply_to AS root, 0 AS depth, [reply_to] AS path FROM parent
+  WHERE NOT EXISTS (SELECT 1 FROM parent q WHERE q.conv_id = parent.conv_id AND q.turn = parent.reply_to)
+  UNION ALL
+  SELECT p.conv_id, p.turn, t.root, t.depth + 1, list_append(t.path, p.turn)
+  FROM tree t JOIN parent p ON p.conv_id = t.conv_id AND p.reply_to = t.turn),
+place AS (SELECT conv_id, turn, root, depth, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS position FROM tree),
 body AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS t FROM parsed WHERE level = 0 GROUP BY ALL)
-SELECT c.conv_id, c.turn, c.role, coalesce(t.root, c.turn) AS root, CAST(coalesce(t.depth, 0) AS INTEGER) AS depth, p.reply_to,
+SELECT c.conv_id, c.turn, c.role, coalesce(t.root, c.turn) AS root, CAST(coalesce(t.depth, 0) AS INTEGER) AS depth,
+       CAST(coalesce(t.position, 0) AS BIGINT) AS position, p.reply_to,
        CAST(coalesce(q.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(q.n_linked, 0) AS BIGINT) AS n_linked,
        CAST(coalesce(q.max_level, 0) AS INTEGER) AS max_level, sha256(coalesce(b.t, '')) AS text_sha256
-FROM conversations c LEFT JOIN top t ON c.conv_id = t.conv_id AND c.turn = t.turn
+FROM conversations c LEFT JOIN place t ON c.conv_id = t.conv_id AND c.turn = t.turn
 LEFT JOIN parent p ON c.conv_id = p.conv_id AND c.turn = p.turn LEFT JOIN per q ON c.conv_id = q.conv_id AND c.turn = q.turn
 LEFT JOIN body b ON c.conv_id = b.conv_id AND c.turn = b.turn"""
 

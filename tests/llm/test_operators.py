@@ -383,23 +383,73 @@ def test_few_and_no_vectors(spark):
 
 def test_quotes(spark):
     rows = [
-        (1, 0, "u", "Hello there my friend\nHow are you doing today?"), (1, 1, "a", "> hello  there my FRIEND\nI am fine thanks a lot"), (1, 2, "u", "> I am fine thanks a lot\n> > Hello there my friend\nGood to hear that"),
+        (1, 0, "u", "Hello there my friend\nHow are you doing today?"), (1, 1, "a", "> hello  there my FRIEND how are\n> you doing today?\nI am fine thanks a lot"), (1, 2, "u", "> I am fine thanks a lot\n> > Hello there my friend\nGood to hear that"),
         (1, 3, "a", ">> I am fine thanks a lot\nnone"), (1, 4, "a", "> unknown passage here ok\nx"), (1, 5, "u", None), (None, 1, "u", "> Hello there my friend"), (2, 0, "u", ""), (1, 3, "a", ">> I am fine thanks a lot\nnone"), (1, None, None, "x"),
+        (1, 6, "u", "> doing\nyes"), (1, 7, "a", ">\n"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as k", "'y' as root")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as k", "'y' as root", "'z' as conv", "'w' as position")
     out = quotes.link_quotes(df)
-    got = {(r.conv_id, r.turn): (r.text, r.n_quoted, r.n_linked, r.max_level, r.reply_to, r.root, r.depth) for r in out.collect()}
+    got = {(r.conv_id, r.turn): (r.text, r.n_quoted, r.n_linked, r.max_level, r.reply_to, r.root, r.depth, r.position) for r in out.collect()}
     assert out.count() == len(rows)
-    assert got[1, 1] == ("I am fine thanks a lot", 1, 1, 1, 0, 0, 1)
-    assert got[1, 2] == ("Good to hear that", 2, 2, 2, 1, 0, 2)
-    assert got[1, 3] == ("none", 1, 1, 2, 1, 0, 2)
-    assert got[1, 4] == ("x", 1, 0, 1, None, 4, 0)
-    assert got[1, 5] == ("", 0, 0, 0, None, 5, 0) and got[None, 1][4] is None
+    assert got[1, 0][4:] == (None, 0, 0, 0)
+    assert got[1, 1] == ("I am fine thanks a lot", 1, 1, 1, 0, 0, 1, 1)
+    assert got[1, 2] == ("Good to hear that", 2, 2, 2, 1, 0, 2, 2)
+    assert got[1, 3] == ("none", 1, 1, 2, 2, 0, 3, 3)  # through the message that quoted it
+    assert got[1, 4] == ("x", 1, 0, 1, None, 4, 0, 0)
+    assert got[1, 5] == ("", 0, 0, 0, None, 5, 0, 0) and got[None, 1][4] is None
+    assert got[1, 6][1:] == (1, 1, 1, 0, 0, 1, 4) and got[1, 7][1:5] == (0, 0, 0, None)
     threads = quotes.transcripts(out).filter("conv = 1 and root = 0").first()
-    assert [m.turn for m in threads.messages] == [0, 1, 2, 3, 3]
+    assert [m.turn for m in threads.messages] == [0, 1, 2, 3, 3, 6]
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def mailing_list(seed=3):
+    """Conversations whose messages quote whole and partial passages, wrapped anew and nested."""
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        sent = []
+        for turn in range(rng.choice([1, 8, 40, 90])):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if sent and rng.random() < 0.8:
+                    words = rng.choice(rng.choice(sent)).split()
+                    if rng.random() < 0.5:
+                        lo = rng.randrange(len(words))
+                        words = words[lo : lo + rng.randint(1, 12)]
+                    if rng.random() < 0.1:
+                        words.append("changed")
+                    mark, step = rng.choice(["> ", "> ", ">> ", "> > >"]), rng.randint(2, 9)
+                    lines += [mark + " ".join(words[i : i + step]).upper() for i in range(0, len(words), step)]
+                lines += rng.choice([[], [""], [">"]])
+            blocks = [" ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(0, 3))]
+            for x in blocks:
+                lines += [x, ""]
+            if blocks:
+                sent.append(blocks)
+            rows.append((conv, turn, "u", "\n".join(lines)))
+    return rows
+
+
+def test_quotes_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from readloom.llm.queries import QUOTES_SQL
+
+    rows = mailing_list()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    res = con.execute(QUOTES_SQL)
+    names = [x[0] for x in res.description]
+    want = sorted(tuple(str(x) for x in r) for r in res.fetchall())
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = quotes.link_quotes(df).withColumn("text_sha256", F.sha2("text", 256)).select(*names).collect()
+    assert sorted(tuple(str(x) for x in r) for r in got) == want
+    assert sum(r.n_linked for r in got) > 100 and max(r.depth for r in got) > 5 and max(r.max_level for r in got) == 3
+
+
 # 10
 
 
