@@ -1,23 +1,30 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node (named by the smallest id), so that a vector of very
-many rows takes one place in neighbour lists. The graph starts from chunks of
-random-projection orders and is improved by NN-descent: each node's neighbours
-and reverse neighbours meet in a local join that proposes every pair closer than
-the farther one's current list. Building and search work on the original vectors,
-in double precision and by differences, so that neither a long vector nor a clump of
-close ones blurs the order of the others.
+Equal vectors are one node, so that a vector of very many rows takes one place in
+neighbour lists. The graph starts from chunks of random-projection orders and is
+improved by NN-descent: each node's neighbours and reverse neighbours meet in a
+local join that proposes every pair closer than the end of a list. Only pairs of
+which one is new in its list meet, and rounds go on until fewer than ``SETTLED`` of all
+links change.
+
+A list is one packed row of its node. Local joins run by blocks of nodes that are
+neighbours in the first projection: a block sends for each vector once,
+and keeps the best proposals for each node before it sends them on. Distances are
+those of the original vectors in double precision, from products of vectors that
+are first moved to their group's middle; results are measured by differences.
 
 Search keeps the ``ef`` best nodes of each query, and hop by hop opens the best
-ones not yet opened, until none is left. A query starts at its own node's list.
+``width`` not yet opened, until none is left. A query starts at its own node.
 
 Lists and beams are bounded by parameters, so no group that a task holds grows
-with the data; reverse lists are cut to their nearest in two steps, so a hub's are
-never in one task. Every row is in the graph.
+with the data; reverse lists are cut to their nearest where they are made, a batch
+at a time. Every row is in the graph.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite
-components take no part, nor do those whose length is not the most frequent one;
-with fewer candidates than k all that the search reaches are returned.
+components take no part, nor do null ids; vectors of other lengths are no neighbours and
+have a graph of their own; rows of one id and one vector are one row, rows of one id
+and different vectors are neighbours like others; with fewer candidates than k all
+that the search reaches are returned; equal distances go to the smaller id.
 """
 
 from __future__ import annotations
@@ -26,239 +33,359 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import release, whole_groups, written
 
 DEGREE, REVERSE = 32, 32
-TREES, TREE_LINKS, CHUNK, TREE_BITS = 8, 16, 1024, 6
-ROUNDS, SETTLED = 2, 0.05  # NN-descent rounds; it stops early below this share of changed links
-EF, WIDTH, HOPS = 320, 40, 40
+TREES, TREE_LINKS, CHUNK, TREE_BITS = 4, 16, 1024, 6
+SETTLED = 0.02  # NN-descent ends below this share of changed links
+EF, WIDTH = 64, 8
+_CELLS = 1 << 20  # numbers that a step by differences holds
+
+_LIST = "u long, b long, ids binary, ds binary, state binary"
+_NAMES = ["u", "b", "ids", "ds", "state"]
+OLD, NEW, PROPOSED = 0, 1, 2  # state of a link
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): vectors that take part."""
     v = F.col(vec_col)
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").select("n").first()
-    return rows.filter(F.size("v") == (length[0] if length else 0))
+    return vectors.filter(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _matrix(col: pa.Array, dtype) -> np.ndarray:
-    flat = np.frombuffer(b"".join(col.to_pylist()), dtype)
-    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
-
-
-def _binary(m: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in np.ascontiguousarray(m)], pa.binary())
+    """Packed vectors of one length."""
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1).astype(np.float64)
 
 
-def _classes(dtype):
+def _pack(dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(b), -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), _binary(m)], names=["node", "v"])
+            raw = [np.asarray(v, dtype).tobytes() for v in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw, pa.binary())], names=["id", "h1", "h2", "v"])
 
     return run
 
 
+def _bounds(*keys: np.ndarray) -> list[tuple[int, int]]:
+    new = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys[0])]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo]
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to each other."""
+    x = x - np.median(x, axis=0)
+    s = np.einsum("ij,ij->i", x, x)
+    d = np.maximum(s[:, None] + s[None] - 2 * (x @ x.T), 0)
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
 def _project(trees: int, bits: int, seed: int, dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            x = _matrix(b.column(1), dtype).astype(np.float64)
-            for t in range(trees):
-                rng = np.random.Generator(np.random.PCG64([seed, t]))
-                p = x @ rng.standard_normal((x.shape[1], bits + 1))
-                code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int32)), pa.array(p[:, bits]), b.column(0), b.column(1)], names=["t", "code", "p", "node", "v"])
+            size = np.array([len(x) for x in b.column(1).to_pylist()])
+            for n in np.unique(size).tolist():
+                part = b.filter(pa.array(size == n))
+                x = _matrix(part.column(1), dtype)
+                x = x / np.abs(x).max(1, keepdims=True)  # directions: nothing overflows
+                for t in range(trees):
+                    rng = np.random.Generator(np.random.PCG64([seed, t]))
+                    p = x @ rng.standard_normal((x.shape[1], bits + 1))
+                    code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), n)), pa.array(code.astype(np.int32)), pa.array(p[:, bits]), part.column(0), part.column(1)], names=["t", "n", "code", "p", "node", "v"])
 
     return run
 
 
-def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances by differences: nothing cancels, so close vectors keep their order."""
-    out, step = np.empty((len(a), len(b))), max(1, (1 << 17) // max(b.size, 1))
-    for lo in range(0, len(a), step):
-        x = a[lo : lo + step, None] - b[None]
-        out[lo : lo + step] = np.einsum("ijk,ijk->ij", x, x)
-    return out
+def _packed(u: np.ndarray, b: np.ndarray, begin: np.ndarray, ids: np.ndarray, ds: np.ndarray, state: np.ndarray) -> pa.RecordBatch:
+    """Rows of lists; list i is begin[i]:begin[i + 1]."""
+
+    def cut(x: np.ndarray) -> pa.Array:
+        raw = np.ascontiguousarray(x)
+        offsets = pa.py_buffer((begin * raw.itemsize).astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, offsets, pa.py_buffer(raw.tobytes())])
+
+    return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(b.astype(np.int64)), cut(ids.astype(np.int64)), cut(ds.astype(np.float64)), cut(state.astype(np.uint8))], names=_NAMES)
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Owner (row), ids, distances and states of the links of a batch."""
+    raw = [np.frombuffer(b"".join(b.column(c).to_pylist()), k) for c, k in (("ids", np.int64), ("ds", np.float64), ("state", np.uint8))]
+    n = np.array([len(x) for x in b.column("state").to_pylist()], np.int64)
+    return np.repeat(np.arange(len(b)), n), *raw
 
 
-def _links(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
+def _cut(owner: np.ndarray, ids: np.ndarray, ds: np.ndarray, state: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest distinct ids of each owner, nearest first; of equal links the oldest."""
+    order = np.lexsort((state, ids, owner))
+    owner, ids, ds, state = owner[order], ids[order], ds[order], state[order]
+    keep = np.ones(len(owner), bool)
+    keep[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+    owner, ids, ds, state = owner[keep], ids[keep], ds[keep], state[keep]
+    order = np.lexsort((ids, ds, owner))
+    owner, ids, ds, state = owner[order], ids[order], ds[order], state[order]
+    first = np.searchsorted(owner, owner, "left")
+    keep = np.arange(len(owner)) - first < k
+    return owner[keep], ids[keep], ds[keep], state[keep]
 
 
 def _chunks(chunk: int, links: int, dtype):
     """Nearest of each node within a chunk of one projection's order."""
 
-    def near(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
-        k = min(links, len(nodes) - 1)
-        if k < 1:
-            return None
-        d = _square(x, x)
-        np.fill_diagonal(d, np.inf)
-        p = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return _links(np.repeat(nodes, k), nodes[p].ravel(), np.take_along_axis(d, p, 1).ravel())
+    def near(nodes: np.ndarray, x: np.ndarray, block: int) -> pa.RecordBatch:
+        n = len(nodes)
+        k, wide = min(links, n - 1), min(2 * links, n - 1)
+        p, ds = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+        if k > 0:
+            wide = np.argpartition(_squares(x), wide - 1, axis=1)[:, :wide]
+            step = max(1, _CELLS // (wide.shape[1] * x.shape[1]))
+            exact = np.concatenate([((x[wide[lo : lo + step]] - x[lo : lo + step, None]) ** 2).sum(2) for lo in range(0, n, step)])
+            best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            p, ds = np.take_along_axis(wide, best, 1), np.take_along_axis(exact, best, 1)
+        begin = np.arange(n + 1) * p.shape[1]
+        return _packed(nodes, np.full(n, block), begin, nodes[p].ravel(), ds.ravel(), np.full(p.size, PROPOSED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, nodes, x = None, [], []
+        made, at, nodes, x = TaskContext.get().partitionId() << 24, None, [], []
+
+        def full() -> pa.RecordBatch:
+            nonlocal made, nodes, x
+            made += 1
+            out = near(np.concatenate(nodes), np.concatenate(x), made if at[0] == 0 else -1)
+            nodes, x = [], []
+            return out
+
         for b in batches:
-            t = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if t[lo] != tree and nodes:
-                    out = near(np.concatenate(nodes), np.concatenate(x))
-                    nodes, x = [], []
-                    if out:
-                        yield out
-                tree = t[lo]
-                ids, m = b.column(3).slice(lo, hi - lo).to_numpy(), _matrix(b.column(4).slice(lo, hi - lo), dtype).astype(np.float64)
+            t, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for lo, hi in _bounds(t, n) if len(b) else []:
+                if nodes and (t[lo], n[lo]) != at:
+                    yield full()
+                at = (t[lo], n[lo])
+                ids, m = b.column(4).slice(lo, hi - lo).to_numpy(), _matrix(b.column(5).slice(lo, hi - lo), dtype)
                 while len(ids):
                     room = chunk - sum(map(len, nodes))
                     nodes.append(ids[:room])
                     x.append(m[:room])
                     ids, m = ids[room:], m[room:]
                     if sum(map(len, nodes)) == chunk:
-                        yield near(np.concatenate(nodes), np.concatenate(x))
-                        nodes, x = [], []
+                        yield full()
         if nodes:
-            out = near(np.concatenate(nodes), np.concatenate(x))
-            if out:
-                yield out
+            yield full()
+
+    return run
+
+
+def _merge(degree: int):
+    """Lists and proposals of a node as one list; kept links are old, proposed ones new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            u, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.array([lo for lo, _ in _bounds(u)] + [len(u)])
+            row, ids, ds, state = _unpacked(b)
+            owner, ids, ds, state = _cut(np.searchsorted(cuts, row, "right") - 1, ids, ds, state, degree)
+            begin = np.searchsorted(owner, np.arange(len(cuts)))
+            yield _packed(u[cuts[:-1]], np.maximum.reduceat(block, cuts[:-1]), begin, ids, ds, np.where(state == PROPOSED, NEW, OLD))
 
     return run
 
 
-def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-    return list(zip(cuts, cuts[1:], strict=False))
+def _reverse(limit: int):
+    """Links the other way, the ``limit`` nearest of each node in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, ids, ds, state = _unpacked(b)
+            if len(row):
+                v, at = np.unique(ids, return_inverse=True)
+                owner, back, ds, state = _cut(at, b.column(0).to_numpy()[row], ds, state, limit)
+                yield _packed(v, np.full(len(v), -1), np.searchsorted(owner, np.arange(len(v) + 1)), back, ds, state + 4)
+
+    return run
 
 
-def _local_join(dtype):
-    """Columns u, node, x, far: pairs of u's neighbours that are nearer than node's list ends."""
+def _around(degree: int, limit: int):
+    """Neighbours and the nearest ``limit`` reverse neighbours: u, b, far (where a full
+    list ends), members, fresh (which links are new)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            nodes, far = b.column(1).to_numpy(), b.column(3).to_numpy()
-            x = _matrix(b.column(2), dtype).astype(np.float64)
-            us, vs, ds = [], [], []
-            for lo, hi in _bounds(b.column(0).to_numpy()):
-                d = _square(x[lo:hi], x[lo:hi])
-                np.fill_diagonal(d, np.inf)
-                i, j = np.nonzero(d < far[lo:hi, None])
-                us.append(nodes[lo + i])
-                vs.append(nodes[lo + j])
-                ds.append(d[i, j])
-                if sum(map(len, us)) > 200_000:
-                    yield _links(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
-                    us, vs, ds = [], [], []
-            if us:
-                yield _links(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
+            u, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.array([lo for lo, _ in _bounds(u)] + [len(u)])
+            row, ids, ds, state = _unpacked(b)
+            owner = np.searchsorted(cuts, row, "right") - 1
+            own = state < 4
+            n = np.bincount(owner[own], minlength=len(cuts) - 1)
+            far = np.zeros(len(cuts) - 1)
+            np.maximum.at(far, owner[own], ds[own])
+            back = _cut(owner[~own], ids[~own], ds[~own], state[~own] - 4, limit)
+            parts = [np.concatenate(x) for x in zip((owner[own], ids[own], ds[own], state[own]), back, strict=True)]
+            owner, ids, _, state = _cut(*parts, degree + limit)
+            begin = np.searchsorted(owner, np.arange(len(cuts)))
+            offsets = pa.array(begin.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, state == NEW)]
+            yield pa.RecordBatch.from_arrays([pa.array(u[cuts[:-1]]), pa.array(np.maximum.reduceat(block, cuts[:-1])), pa.array(np.where(n < degree, np.inf, far)), *lists], names=["u", "b", "far", "members", "fresh"])
 
     return run
 
 
-def _nearest(links: DataFrame, k: int, salt: int = 16) -> DataFrame:
-    """The k nearest v of each u, in two steps, so that no task has all links of a hub."""
-    one = links.groupBy("u", "v").agg(F.min("d").alias("d")).withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salt)))
-    part = one.withColumn("r", F.row_number().over(Window.partitionBy("u", "s").orderBy("d", "v"))).filter(F.col("r") <= k).drop("s", "r")
-    return part.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("r") <= k).drop("r")
-
-
-def _both_ways(links: DataFrame, reverse: int) -> DataFrame:
-    back = _nearest(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"), reverse)
-    return links.select("u", "v").union(back.select("u", "v")).distinct()
-
-
-def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """(u, v, d): for each node its approximate nearest ones, d the squared distance."""
-    spread = classes.mapInArrow(_project(TREES, TREE_BITS, seed, dtype), "t int, code int, p double, node long, v binary")
-    spread = spread.repartitionByRange("t", "code", "p", "node").sortWithinPartitions("t", "code", "p", "node")
-    links = written(_nearest(spread.mapInArrow(_chunks(CHUNK, TREE_LINKS, dtype), "u long, v long, d double"), degree), "graph")
-    for _ in range(rounds):
-        far = links.groupBy("u").agg(F.count("*").alias("n"), F.max("d").alias("d"))
-        far = far.select(F.col("u").alias("node"), F.when(F.col("n") < degree, float("inf")).otherwise(F.col("d")).alias("far"))
-        ends = classes.join(far, "node", "left").select("node", F.col("v").alias("x"), F.coalesce("far", F.lit(float("inf"))).alias("far"))
-        both = _both_ways(links, reverse)
-        meet = both.join(ends, both["v"] == ends["node"]).select("u", "node", "x", "far")
-        found = meet.repartition("u").sortWithinPartitions("u").mapInArrow(_local_join(dtype), "u long, v long, d double")
-        # Proposals are cut before they meet the lists.
-        after = written(_nearest(_nearest(found, degree).union(links), degree), "graph")
-        total, kept = after.count(), after.join(links, ["u", "v"], "left_semi").count()
-        release(links)
-        links = after
-        if total - kept < SETTLED * total:
-            break
-    return links
+def _local_join(degree: int, dtype):
+    """Columns b, u, x, far (a vector of the block), members, fresh (a list): the best
+    proposals for each node of a block."""
 
+    def proposals(us: list, vs: list, ds: list) -> pa.RecordBatch:
+        u, at = np.unique(np.concatenate(us), return_inverse=True)
+        v = np.concatenate(vs)
+        owner, ids, d, state = _cut(at, v, np.concatenate(ds), np.full(len(v), PROPOSED), degree)
+        return _packed(u, np.full(len(u), -1), np.searchsorted(owner, np.arange(len(u) + 1)), ids, d, state)
 
-def _measure(dtype):
-    """Columns query, node, x (bytes): the row without a node holds the query's own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, nodes, far, raw, table, held = None, [], [], [], None, ([], [], [])
+        for b in batches:
+            for key, u, x, end, members, fresh in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if key != block:
+                    if held[0]:
+                        yield proposals(*held)
+                    block, nodes, far, raw, table, held = key, [], [], [], None, ([], [], [])
+                if x is not None:
+                    nodes.append(u)
+                    far.append(end)
+                    raw.append(x)
+                    continue
+                if table is None:
+                    order = np.argsort(np.array(nodes))
+                    table = np.array(nodes)[order], np.array(far)[order], np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1)[order].astype(np.float64)
+                    raw = []
+                names, new = np.array(members), np.array(fresh)
+                at = np.searchsorted(table[0], names)
+                d = _squares(table[2][at])
+                i, j = np.nonzero((d < table[1][at][:, None]) & (new[:, None] | new[None]))
+                for out, y in zip(held, (names[i], names[j], d[i, j]), strict=True):
+                    out.append(y)
+                if sum(map(len, held[0])) > 500_000:
+                    yield proposals(*held)
+                    held = ([], [], [])
+        if held[0]:
+            yield proposals(*held)
+
+    return run
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("u").sortWithinPartitions("u")
+
+
+def _neighbourhoods(lists: DataFrame, degree: int, reverse: int) -> DataFrame:
+    both = lists.unionByName(lists.mapInArrow(_reverse(reverse), _LIST))
+    return _by_node(both).mapInArrow(_around(degree, reverse), "u long, b long, far double, members array<long>, fresh array<boolean>")
+
+
+def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int = REVERSE, settled: float = SETTLED, seed: int = 1) -> DataFrame:
+    """(u, b, ids, ds, state): for each node its approximate nearest ones, packed, with squared distances."""
+    spread = classes.mapInArrow(_project(TREES, TREE_BITS, seed, dtype), "t int, n long, code int, p double, node long, v binary")
+    order = ["t", "n", "code", "p", "node"]
+    spread = spread.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chunks(CHUNK, TREE_LINKS, dtype), _LIST)
+    lists = written(_by_node(spread).mapInArrow(_merge(degree), _LIST), "graph")
+    while True:
+        hoods = written(_neighbourhoods(lists, degree, reverse), "hoods")
+        active = hoods.filter(F.exists("fresh", lambda x: x))
+        need = active.select("b", F.explode("members").alias("node")).distinct()
+        ends = classes.join(hoods.select(F.col("u").alias("node"), "far"), "node")
+        vectors = need.join(ends, "node").select("b", F.col("node").alias("u"), F.col("v").alias("x"), "far", F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"))
+        joins = active.select("b", "u", F.lit(None).cast("binary").alias("x"), F.lit(None).cast("double").alias("far"), "members", "fresh")
+        meet = vectors.union(joins).withColumn("last", F.col("x").isNull()).repartition("b").sortWithinPartitions("b", "last").drop("last")
+        found = meet.mapInArrow(_local_join(degree, dtype), _LIST)
+        after = written(_by_node(lists.unionByName(found)).mapInArrow(_merge(degree), _LIST), "graph")
+        release(lists, hoods)
+        lists = after
+        links = F.octet_length("state")
+        total, changed = lists.agg(F.sum(links), F.sum(links - F.octet_length(F.replace(F.hex("state"), F.lit("01"), F.lit(""))) / 2)).first()
+        if not total or changed <= settled * total:
+            return lists
+
+
+def _beams(ef: int, width: int, dtype):
+    """Columns query, node, v (a candidate); x, ids, ds, opened (the beam, on the row without a node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            keys, nodes = b.column(0).to_numpy(), b.column(1)
-            none = nodes.is_null().to_numpy(zero_copy_only=False)
-            ids = nodes.fill_null(0).to_numpy()
-            x = _matrix(b.column(2), dtype).astype(np.float64)
-            for lo, hi in _bounds(keys):
-                own = x[lo:hi][none[lo:hi]]
-                rest = ~none[lo:hi]
-                if len(own) and rest.any():
-                    d = ((x[lo:hi][rest] - own[0]) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi][rest]), pa.array(ids[lo:hi][rest]), pa.array(d)], names=["query", "node", "d"])
+            out: list[tuple] = []
+            for lo, hi in _bounds(b.column(0).to_numpy()):
+                part = b.slice(lo, hi - lo)
+                node = part.column(1).to_pylist()
+                own = node.index(None)
+                x, ids, ds, opened = (part.column(c)[own].as_py() for c in range(3, 7))
+                more = [i for i, n in enumerate(node) if n is not None]
+                if more:
+                    y = _matrix(part.column(2).take(pa.array(more)), dtype)
+                    d = ((y - np.frombuffer(x, dtype).astype(np.float64)) ** 2).sum(1)
+                    ids, ds, opened = ids + [node[i] for i in more], ds + d.tolist(), opened + [False] * len(more)
+                best = sorted(range(len(ids)), key=lambda i: (ds[i], ids[i]))[:ef]
+                turn = [i for i in best if not opened[i]][:width]
+                for i in turn:
+                    opened[i] = True
+                out.append((part.column(0)[0].as_py(), x, [ids[i] for i in best], [ds[i] for i in best], [opened[i] for i in best], [ids[i] for i in turn]))
+            cols = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query", "x", "ids", "ds", "opened", "turn"])
 
     return run
 
 
-def search(classes: DataFrame, links: DataFrame, queries: DataFrame, dtype, k: int, ef: int = EF, width: int = WIDTH, reverse: int = REVERSE, hops: int = HOPS) -> DataFrame:
+def search(classes: DataFrame, lists: DataFrame, queries: DataFrame, dtype, k: int, ef: int = EF, width: int = WIDTH, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
     """(query, node, score): for each query node its k nearest nodes found, itself included."""
-    graph = written(_both_ways(links, reverse), "graph")
-    vectors = classes.withColumnRenamed("v", "x")
-    own = queries.select(F.col("node").alias("query")).join(vectors.withColumnRenamed("node", "query"), "query").select("query", F.lit(None).cast("long").alias("node"), "x")
-    best = Window.partitionBy("query").orderBy("d", "node")
-    beam = written(queries.select(F.col("node").alias("query"), "node", F.lit(0.0).alias("d"), F.lit(False).alias("open")), "beam")
-    for _ in range(hops):
-        turn = beam.filter("not open").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= width).select("query", "node")
-        new = turn.join(graph, turn["node"] == graph["u"]).select("query", F.col("v").alias("node")).distinct().join(beam, ["query", "node"], "left_anti")
-        rows = new.join(vectors, "node").select("query", "node", "x").union(own)
-        seen = rows.repartition("query").sortWithinPartitions("query").mapInArrow(_measure(dtype), "query long, node long, d double")
-        opened = beam.join(turn.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "d", (F.col("open") | F.coalesce("now", F.lit(False))).alias("open"))
-        both = opened.union(seen.withColumn("open", F.lit(False)))
-        after = written(both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= ef).drop("r"), "beam")
-        release(beam)
-        beam = after
-        if beam.filter("not open").isEmpty():
+    ef = max(ef, k)
+    graph = written(_neighbourhoods(lists, degree, reverse).select("u", "members"), "graph")
+    beam = queries.select(F.col("node").alias("query")).join(classes.withColumnRenamed("node", "query"), "query")
+    first = F.array("query")
+    beam = written(beam.select("query", F.col("v").alias("x"), first.alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(True)).alias("opened"), first.alias("turn")), "beam")
+    seen = [beam.select("query", F.col("query").alias("node"))]
+    while True:
+        turn = beam.select("query", F.explode("turn").alias("u"))
+        near = turn.join(graph, "u").select("query", F.explode("members").alias("node")).distinct()
+        for s in seen:
+            near = near.join(s, ["query", "node"], "left_anti")
+        near = written(near, "near")
+        seen.append(near)
+        none = lambda kind: F.lit(None).cast(kind)
+        cands = near.join(classes, "node").select("query", "node", "v", none("binary").alias("x"), none("array<long>").alias("ids"), none("array<double>").alias("ds"), none("array<boolean>").alias("opened"))
+        rows = cands.union(beam.select("query", none("long"), none("binary"), "x", "ids", "ds", "opened"))
+        rows = rows.repartition("query").sortWithinPartitions("query")
+        beam = written(rows.mapInArrow(_beams(ef, width, dtype), "query long, x binary, ids array<long>, ds array<double>, opened array<boolean>, turn array<long>"), "beam")
+        if beam.filter(F.size("turn") > 0).isEmpty():
             break
-    return beam.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query", "node", F.sqrt("d").alias("score"))
+    pairs = beam.select("query", F.explode(F.slice(F.arrays_zip("ids", "ds"), 1, k)).alias("c"))
+    return pairs.select("query", F.col("c.ids").alias("node"), F.sqrt("c.ds").alias("score"))
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **search_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each row for
     which ``is_query`` (a function of the id column) holds, by Euclidean distance."""
     rows = usable(vectors, id_col, vec_col)
-    key = [F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")]
-    keyed = rows.select("id", "v", *key)
-    firsts = keyed.groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    members = written(keyed.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "node"), "members")
-    nodes = members.filter("id = node").select("id").distinct()
-    distinct = rows.join(nodes, "id", "left_semi").dropDuplicates(["id"])
     dtype = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
-    classes = written(distinct.mapInArrow(_classes(dtype), "node long, v binary"), "classes")
-    links = build_graph(classes, dtype)
-    asked = members.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("node").alias("query")).distinct()
-    found = search(classes, links, asked.select(F.col("query").alias("node")).distinct(), dtype, k + 1, **search_options)
+    key = ["h1", "h2"]
+    keyed = rows.select("id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"), "v")
+    firsts = keyed.groupBy(*key).agg(F.min("id").alias("id"))
+    one = keyed.join(firsts, [*key, "id"]).dropDuplicates([*key, "id"])
+    one = one.select("id", *key, "v").mapInArrow(_pack(dtype), "id long, h1 long, h2 long, v binary")
+    classes = written(one.select(F.monotonically_increasing_id().alias("node"), *key, "v"), "classes")
+    members = written(keyed.select("id", *key).distinct().join(classes.select("node", *key), key).select("id", "node"), "members")
+    classes = classes.select("node", "v")
+    lists = build_graph(classes, dtype)
+    asked = members.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("node").alias("query"))
+    found = search(classes, lists, asked.select(F.col("query").alias("node")).distinct(), dtype, k + 1, **search_options)
     # Of each class the k + 1 smallest ids are enough.
-    few = members.distinct().withColumn("s", F.pmod("id", F.lit(64)))
+    few = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node", "s").orderBy("id"))).filter(F.col("r") <= k + 1).drop("s", "r")
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1).select("node", F.col("id").alias("vec_id"))
-    out = found.join(asked, "query").join(few, "node").filter("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    out = found.join(asked, "query").join(few, "node").filter((F.col("vec_id") != F.col("query_id")) | (F.col("node") != F.col("query")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id", "node"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
