@@ -164,3 +164,8 @@ def description_field(ds: Column, key: str) -> Column:
     parts = F.transform(F.split(ds, " "), lambda t: F.split(t, "=", -1))
     good = F.filter(parts, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) == key))
     return F.get(F.get(good, F.lit(0)), F.lit(1))
+
+
+def version_parts(version: Column) -> Column:
+    """The numbers of a version, so that v10 comes after v9."""
+    return F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.cast("int"))

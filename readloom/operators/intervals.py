@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,18 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, inc
     return ~((a_start > b_end) | (a_end < b_start)) if inclusive else ~((a_start >= b_end) | (a_end <= b_start))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", start: str = "start", end: str = "end", inclusive: bool = False, bin_size: int = 1 << 14) -> DataFrame:
-    """Range join as an equi-join on bins. Both sides are repeated for the bins they
+def _mean_length(df: DataFrame, start: str, end: str) -> int:
+    """Rounded up to a power of two, 16 at least."""
+    mean = df.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 0
+    return 1 << max(4, math.ceil(math.log2(max(mean, 1))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", start: str = "start", end: str = "end", inclusive: bool = False, bin_size: int | None = None) -> DataFrame:
+    """Range join as an equi-join on bins, by default of the mean length of the side of longer intervals, so that a row has about two copies and meets its neighbourhood only. Both sides are repeated for the bins they
     touch, a pair is taken in the first common bin only; ``how`` is inner,
     left_semi or left_anti. Right columns get the prefix ``r_``."""
     more = 0 if inclusive else 1
+    bin_size = bin_size or max(_mean_length(left, start, end), _mean_length(right, start, end))
     bins = lambda d: F.sequence(F.floor(d[start] / bin_size), F.greatest(F.floor(d[start] / bin_size), F.floor((d[end] - more) / bin_size)))
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.explode(bins(right)).alias("r_bin"))
     if how == "inner":

@@ -6,30 +6,35 @@ import numpy as np
 
 
 def trim_start(signal: np.ndarray, threshold: float = 2.4, window: int = 40, most: int = 8000, least: int = 10, elements: int = 3) -> int:
-    """Samples to cut at the front: a window with more than ``elements`` samples above
-    the threshold is a peak; the cut is the end of the first later window that is not.
-    At least ``least``; if no peak ends it is ``least``."""
-    peak = False
-    for begin in range(least, min(most, len(signal)) - window + 1, window):
-        part = signal[begin : begin + window]
-        high = int((part > threshold).sum()) > elements
-        if high or peak:
-            peak = True
-            if part[-1] <= threshold:
-                end = begin + window
-                return least if end >= min(most, len(signal)) else end
-    return least
-
-
-def rna_adapter_end(signal: np.ndarray, size: int = 250, stride: int = 50, across: int = 5, jump: float = 125.0) -> int:
-    """Where the medians of sliding windows rise by ``jump`` over ``across`` windows; 0 if nowhere."""
-    if len(signal) < size:
+    """Samples to cut at the front: where the first window ends that falls to the
+    threshold once a window has had more than ``elements`` samples above it; ``least`` if
+    there is none or it reaches into the last ``least`` samples."""
+    x = signal[:most]
+    usable = len(x) - least
+    if usable < window:
+        return least
+    w = x[least : least + usable // window * window].reshape(-1, window)
+    peak = np.maximum.accumulate((w > threshold).sum(1) > elements)
+    falls = np.flatnonzero(peak & (w[:, -1] <= threshold))
+    end = least + window * (int(falls[0]) + 1) if len(falls) else usable
+    return end if end < usable else least
+
+
+def rna_adapter_end(signal: np.ndarray, size: int = 250, stride: int = 50, begin: int = 1000, least: int = 700, jump: float = 125, alone: float = 150) -> int:
+    """Where the (lower) medians of windows rise: five windows in a row of which a later
+    one is more than ``jump`` above an earlier one and above ``least``, or more than
+    ``alone`` above it. Starts from ``begin`` up to three quarters of the signal; 0 if nowhere."""
+    starts = np.arange(begin, 3 * len(signal) // 4, stride)
+    if len(starts) < 6:
         return 0
-    medians = np.array([np.sort(signal[i : i + size])[(size - 1) // 2] for i in range(0, len(signal) - size + 1, stride)])
-    for k in range(across, len(medians)):
-        if medians[k] - medians[k - across : k].min() >= jump:
-            return k * stride
-    return 0
+    medians = np.array([np.sort(x)[(len(x) - 1) // 2] for x in (signal[i : i + size] for i in starts.tolist())], float)
+    at = np.arange(5, len(starts))[:, None]
+    five = at - (at - np.arange(5)) % 5  # windows by their number modulo five: ties go to the first least and the last greatest
+    m, row = medians[five], np.arange(len(at))
+    low, high = m.argmin(1), 4 - m[:, ::-1].argmax(1)
+    rise, top = m[row, high] - m[row, low], m[row, high]
+    found = np.flatnonzero((five[row, high] > five[row, low]) & (((top > least) & (rise > jump)) | (rise > alone)))
+    return int(starts[5 + found[0]]) if len(found) else 0
 
 
 def window_stats(signal: np.ndarray, size: int, stride: int) -> list[tuple[int, float, float]]:
@@ -94,19 +99,19 @@ def split_points(seq: str, qual: np.ndarray, signal: np.ndarray, moves: np.ndarr
     return out
 
 
-def mux_change_trim(qual: np.ndarray, least_len: int = 100, most: float = 0.3, least_trim: int = 5) -> int:
-    """Length to keep when low quality at the 3' end says that the pore changed: the
-    place of the least running score from the end (low -1, middle +1, high +10)."""
+def mux_change_trim(qual: np.ndarray, mux_change: bool = True, least_len: int = 100, least_kept: float = 0.3, least_trim: int = 5) -> int:
+    """Length to keep of a read that ended in a change of the pore: up to before the place
+    of the least running score from the 3' end (low -1, middle +1, high +10), of
+    equal ones the foremost. Untouched if less than ``least_kept`` would stay or less
+    than ``least_trim`` would go."""
     n = len(qual)
-    if n < least_len:
+    if not mux_change or n < least_len:
         return n
-    score = np.where(qual <= 7, -1, np.where(qual <= 12, 1, 10))[::-1]
-    total = np.cumsum(score)
-    k = int(np.argmin(total))
-    if total[k] >= 0:
+    total = np.cumsum(np.where(qual <= 7, -1, np.where(qual <= 12, 1, 10))[::-1])
+    if total.min() > -1:
         return n
-    cut = k + 1
-    return n - cut if least_trim <= cut <= most * n else n
+    keep = n - 2 - int(np.flatnonzero(total == total.min())[-1])
+    return keep if np.floor(np.float32(n) * np.float32(least_kept)) <= keep < n - least_trim else n
 
 
 def encode_mods(seq: str, probs: np.ndarray, base: str, code: str, threshold: int = 0) -> tuple[str, list[int]]:

@@ -175,7 +175,7 @@ def _each(df, column, kinds, f):
 @query("prj16_mux_change_trim")
 def mux_trim(spark, d):
     q = relation(spark, d, "reads").select("read_id", F.transform(F.filter(F.split("qstring", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33).alias("q"))
-    return _each(q, "q", ["keep int"], lambda x: (G.mux_change_trim(x, 20),))
+    return _each(q, "q", ["keep int"], lambda x: (G.mux_change_trim(x, least_len=20),))
 
 
 @query("prj19_signal_trim")
@@ -185,7 +185,7 @@ def signal_trim(spark, d):
 
 @query("prj20_rna_adapter_end")
 def rna_end(spark, d):
-    return _each(_signals(spark, d), "signal", ["at int"], lambda x: (G.rna_adapter_end(x, 10, 2, 5, 1.0),))
+    return _each(_signals(spark, d), "signal", ["at int"], lambda x: (G.rna_adapter_end(x, 10, 2, 4, 100, 0.5, 1.0),))
 
 
 @query("krn09_poly_tail")

@@ -334,11 +334,11 @@ def per_barcode(spark, d):
     return relation(spark, d, "groups").join(F.broadcast(kit), F.lit(True)).select("rg_id", F.explode("kit").alias("barcode")).withColumn("new_rg", F.concat_ws("_", "rg_id", "barcode"))
 
 
-@query("joi20_model_resolution", f"WITH {GROUPS}, m AS (SELECT rg_run, max(rg_model) AS model FROM groups WHERE rg_model <> '' GROUP BY rg_run) SELECT rg_id, model, string_split(model, '@')[1] AS variant, string_split(model, '@')[2] AS version FROM groups JOIN m USING (rg_run)")
+@query("joi20_model_resolution", f"WITH {GROUPS}, m AS (SELECT rg_run, arg_max(rg_model, [CAST(x AS INTEGER) for x in string_split(regexp_replace(string_split(rg_model, '@')[2], '^v', ''), '.')]) AS model FROM groups WHERE rg_model <> '' GROUP BY rg_run) SELECT rg_id, model, string_split(model, '@')[1] AS variant, string_split(model, '@')[2] AS version FROM groups JOIN m USING (rg_run)")
 def models(spark, d):
     g = relation(spark, d, "groups")
     parts = seq.model_parts(F.col("rg_model"))
-    newest = g.filter("rg_model != ''").withColumn("p", parts).groupBy("rg_run").agg(F.max_by("rg_model", "p.version").alias("model"))
+    newest = g.filter("rg_model != ''").withColumn("p", parts).groupBy("rg_run").agg(F.max_by("rg_model", seq.version_parts(F.col("p.version"))).alias("model"))
     return g.select("rg_id", "rg_run").join(newest, "rg_run").withColumn("p", seq.model_parts(F.col("model"))).select("rg_id", "model", F.col("p.variant").alias("variant"), F.col("p.version").alias("version"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import numeric as N
 from readloom.functions import seq as S
+from readloom.operators import batching
 from readloom.plans.mapping import cte, relation
 from readloom.plans.registry import query
 
@@ -162,9 +163,9 @@ def phred(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.round(N.quality_of(p), 6).alias("q"), N.capped_phred(p, 70).alias("capped"))
 
 
-@query("mat05_sequence_quality", "WITH v AS (SELECT vec_id, list_sum(list_transform(embedding[1:8], lambda x: ln(greatest(1e-10, 1 - abs(CAST(x AS DOUBLE)) / 10)))) AS t FROM embeddings) SELECT vec_id, round(least(60, CASE WHEN 1 - exp(t) <= 0 THEN 60 WHEN 1 - exp(t) >= 1 THEN 0 ELSE -10 * log10(1 - exp(t)) END), 6) AS q FROM v")
+@query("mat05_sequence_quality", "WITH v AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: ln(greatest(1e-10, 1 - abs(CAST(x AS DOUBLE)) / 10)))) AS t FROM embeddings) SELECT vec_id, round(least(60, CASE WHEN 1 - exp(t) <= 0 THEN 60 WHEN 1 - exp(t) >= 1 THEN 0 ELSE -10 * log10(1 - exp(t)) END), 6) AS q FROM v")
 def seq_quality(spark, d):
-    p = F.transform(F.slice("embedding", 1, 8), lambda x: 1 - F.abs(x.cast("double")) / 10)
+    p = F.transform("embedding", lambda x: 1 - F.abs(x.cast("double")) / 10)
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(N.sequence_quality(p), 6).alias("q"))
 
 
@@ -183,10 +184,9 @@ def even(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.ntile(7).over(Window.orderBy("p_partkey")).alias("part"))
 
 
-@query("mat09_size_batches", "SELECT p_partkey, p_size, CAST(floor((sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) - p_size) / 100) AS BIGINT) AS batch FROM part")
+@query("mat09_size_batches", "WITH RECURSIVE r AS (SELECT p_partkey, p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part), s AS (SELECT p_partkey, p_brand, p_size, k, CAST(p_size AS BIGINT) AS total, 0 AS batch FROM r WHERE k = 1 UNION ALL SELECT r.p_partkey, r.p_brand, r.p_size, r.k, CASE WHEN s.total >= 100 THEN 0 ELSE s.total END + r.p_size, s.batch + CASE WHEN s.total >= 100 THEN 1 ELSE 0 END FROM s JOIN r ON r.p_brand = s.p_brand AND r.k = s.k + 1) SELECT p_partkey, p_size, CAST(batch AS BIGINT) AS batch FROM s")
 def batches(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", F.floor((F.sum("p_size").over(w) - F.col("p_size")) / 100).cast("long").alias("batch"))
+    return batching.size_batches(spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_partkey", "p_size", 100).select("p_partkey", "p_size", "batch")
 
 
 MOVES = "list_transform(string_split(md5(CAST(event_id AS VARCHAR)), ''), lambda c: CASE WHEN c < '8' THEN 1 ELSE 0 END)"

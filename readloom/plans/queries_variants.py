@@ -62,14 +62,13 @@ def vote(spark, d):
 
 
 def _pile(spark, d):
-    r = relation(spark, d, "records").filter("rec % 7 = 0")
-    r = r.join(r.groupBy("rec").agg(F.count("*").alias("c")).filter("c = 1").select("rec"), "rec")
+    r = relation(spark, d, "records")
     return r.withColumn("seq", F.expr("repeat('ACGT', cast(floor(len_q / 4) as int) + 1)"))
 
 
-@query("agg08_pileup_counts", f"""WITH {cte('records')}, o AS (SELECT rec, rname, flag, pos, unnest(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]')) AS op, generate_subscripts(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]'), 1) AS k FROM records WHERE rec % 7 = 0 AND rec IN (SELECT rec FROM records GROUP BY rec HAVING count(*) = 1)),
-c AS (SELECT rec, rname, flag, pos, k, right(op, 1) AS op, CAST(left(op, length(op) - 1) AS BIGINT) AS n FROM o),
-p AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS q, coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS r FROM c WINDOW w AS (PARTITION BY rec ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query("agg08_pileup_counts", f"""WITH {cte('records')}, o AS (SELECT uid, rname, flag, pos, unnest(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]')) AS op, generate_subscripts(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]'), 1) AS k FROM (SELECT *, row_number() OVER () AS uid FROM records)),
+c AS (SELECT uid, rname, flag, pos, k, right(op, 1) AS op, CAST(left(op, length(op) - 1) AS BIGINT) AS n FROM o),
+p AS (SELECT *, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS q, coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER w, 0) AS r FROM c WINDOW w AS (PARTITION BY uid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e AS (SELECT rname, flag, pos, op, q, r, unnest(generate_series(1, n)) AS i FROM p WHERE op IN ('M', 'I', 'D', '=', 'X')),
 b AS (SELECT rname, flag & 16 <> 0 AS rev, CAST(CASE WHEN op = 'I' THEN pos + r - 1 ELSE pos + r + i - 1 END AS BIGINT) AS major, CAST(CASE WHEN op = 'I' THEN i ELSE 0 END AS INTEGER) AS minor, CASE WHEN op = 'D' THEN '-' ELSE substring('ACGT', CAST((q + i - 1) % 4 + 1 AS INTEGER), 1) END AS b FROM e)
 SELECT rname, major, minor, count(*) FILTER (b = 'A' AND NOT rev) AS a_fwd, count(*) FILTER (b = 'A' AND rev) AS a_rev, count(*) FILTER (b = '-') AS dels, count(*) AS n FROM b GROUP BY rname, major, minor""")

@@ -63,10 +63,14 @@ def vcf_line(seq_id: Column, pos: Column, ref: Column, alts: Column, qual: Colum
     return F.concat_ws("\t", seq_id, (pos + 1).cast("string"), F.lit("."), ref, alt, q, flt, F.coalesce(info, F.lit(".")), F.lit(":".join(k for k, _ in fields)), F.concat_ws(":", *[v for _, v in fields]))
 
 
-def write_sorted(records: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Coordinate-sorted Parquet: range partitions in order, sorted inside."""
-    by = by or ["rname", "pos"]
-    records.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+def write_sorted(records: DataFrame, path: str, contigs: DataFrame | None = None) -> None:
+    """Coordinate-sorted Parquet: range partitions in order, sorted inside. Contigs stand
+    in the order of the header, (rname, tid) rows, or by name without one; those that it
+    lacks follow by name, and unmapped records (``*`` or null) come last."""
+    rows = records.withColumn("__tid", F.lit(None).cast("long")) if contigs is None else records.join(contigs.select("rname", F.col("tid").cast("long").alias("__tid")), "rname", "left").select(*records.columns, "__tid")
+    unmapped = (F.coalesce(F.col("rname"), F.lit("*")) == "*").alias("__unmapped")
+    by = [unmapped, F.col("__tid").asc_nulls_last(), F.col("rname").asc_nulls_last(), F.col("pos")]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tid").write.mode("overwrite").parquet(path)
 
 
 def write_nested(records: DataFrame, path: str, parts: list[str]) -> None:

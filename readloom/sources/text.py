@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 PAF = ["qname", "qlen", "qstart", "qend", "strand", "tname", "tlen", "tstart", "tend", "matches", "block_len", "mapq"]
 _PAF_INT = {"qlen", "qstart", "qend", "tlen", "tstart", "tend", "matches", "block_len", "mapq"}
 # The columns that a sample sheet may have.
-SHEET_COLUMNS = ["experiment_id", "kit", "flow_cell_id", "position_id", "sample_id", "barcode", "alias", "type", "protocol_run_id", "internal_barcode", "external_barcode", "rapid_barcode", "flow_cell_product_code"]
+SHEET_COLUMNS = ["protocol_run_id", "flow_cell_id", "position_id", "sample_id", "experiment_id", "flow_cell_product_code", "kit", "alias", "type", "barcode"]
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
@@ -16,17 +16,19 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
-    """Records of SAM text lines: the eleven columns and a map of tags (``TAG`` to text)."""
+    """Records of SAM text lines: the eleven columns and a map of tags (``TAG`` to text;
+    of a tag that a line repeats the last)."""
     p = F.split("value", "\t")
     at = lambda i: F.get(p, F.lit(i))
     tags = F.transform(F.slice(p, 12, F.greatest(F.size(p) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6), F.length(t)).alias("v")))
+    last = F.filter(tags, lambda t, i: ~F.exists(F.slice(tags, i + 2, 1 << 20), lambda u: u["k"] == t["k"]))
     rows = lines.filter((F.col("value") != "") & ~F.col("value").startswith("@"))
     ints = {"flag": (1, "int"), "pos": (3, "long"), "mapq": (4, "int"), "pnext": (7, "long"), "tlen": (8, "long")}
     names = {"qname": 0, "rname": 2, "cigar": 5, "rnext": 6, "seq": 9, "qual": 10}
     cols = {n: at(i) for n, i in names.items()} | {n: at(i).cast(t) for n, (i, t) in ints.items()}
     cols["pos"] = cols["pos"] - 1
     order = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    return rows.select(*[cols[c].alias(c) for c in order], F.map_from_entries(tags).alias("tags"))
+    return rows.select(*[cols[c].alias(c) for c in order], F.map_from_entries(last).alias("tags"))
 
 
 def read_sam(spark: SparkSession, path) -> DataFrame:

@@ -52,6 +52,10 @@ def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("b", 5, 4, "x"), ("a", 7, 0, "y"), ("a", 2, 256, "x")], "rname string, pos long, flag int, alias string")
     sinks.write_sorted(df, str(tmp_path / "s"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("rname", "pos").collect()] == [("a", 2), ("a", 7), ("b", 5)]
+    more = df.union(spark.createDataFrame([("*", 0, 4, "y"), (None, None, 4, "y"), ("c", 1, 0, "y"), ("b", 4, 0, "y")], df.schema))
+    header = spark.createDataFrame([("c", 0), ("b", 1)], "rname string, tid int")
+    sinks.write_sorted(more, str(tmp_path / "h"), header)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "h")).select("rname", "pos").collect()] == [("c", 1), ("b", 4), ("b", 5), ("a", 2), ("a", 7), ("*", 0), (None, None)]
     sinks.write_nested(df, str(tmp_path / "n"), ["alias"])
     assert sorted(p.name for p in (tmp_path / "n").iterdir() if p.is_dir()) == ["alias=x", "alias=y"]
     out, obs = sinks.counted(df)
@@ -93,3 +97,9 @@ def test_pair_stream(spark, tmp_path):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(src))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     assert set(drain(spark, pairing.pair_stream(s), "pairs", 2)) == {("r0", "r1", 2000), ("r2", "r3", 1000)}
+
+
+def test_repeated_tag_keeps_the_last(spark):
+    line = "r1\t0\tchr1\t10\t60\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:1\tXX:Z:a\tNM:i:2"
+    r = text.parse_sam(spark.createDataFrame([(line,)], "value string")).first()
+    assert r.tags == {"NM": "2", "XX": "a"}

@@ -91,11 +91,40 @@ def test_trim_start_and_pores():
 def test_mux_change():
     q = np.full(300, 20)
     q[260:] = 3
-    assert S.mux_change_trim(q) == 260
+    assert S.mux_change_trim(q) == 259  # the base before the place goes as well
+    assert S.mux_change_trim(q, mux_change=False) == 300
+    half = np.full(400, 20)
+    half[200:] = 3
+    assert S.mux_change_trim(half) == 199  # half is kept: that is enough
+    most = np.full(400, 20)
+    most[100:] = 3
+    assert S.mux_change_trim(most) == 400  # a quarter is not
+    tied = np.full(300, 20)
+    tied[250:] = 3
+    tied[270] = 10  # one up, one down: equal sums, the foremost counts
+    assert S.mux_change_trim(tied) == 249
     assert S.mux_change_trim(np.full(300, 20)) == 300
     assert S.mux_change_trim(np.full(50, 1)) == 50
 
 
+def test_adapter_end_of_rna():
+    x = np.full(8000, 400)
+    assert S.rna_adapter_end(x) == 0
+    x[3000:] = 800
+    # The first of five windows' medians that is more than 125 above an earlier one.
+    assert S.rna_adapter_end(x) == 2900
+    low = np.full(8000, 400)
+    low[3000:] = 530  # rises by 130, but not to 700
+    assert S.rna_adapter_end(low) == 0
+    assert S.rna_adapter_end(x[:1200]) == 0
+
+
+def test_trim_near_the_end():
+    x = np.zeros(400)
+    x[60:85] = 9
+    assert S.trim_start(x) == 90
+    assert S.trim_start(x[:100]) == 10  # falls in the last ten samples
+
 def test_duplex_consensus_takes_the_better():
     assert S.duplex_consensus("ACG", [10, 10, 10], "ATG", [30, 30, 30]) == "ATG"
     assert S.duplex_consensus("ACG", [10, 10, 10], "ATG", [10, 10, 10]) == "ACG"
