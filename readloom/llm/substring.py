@@ -43,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
-from readloom.llm.common import _path, _quietly, drop_table, shared_dir, text_key, written
+from readloom.llm.common import _path, _quietly, _tidy, drop_table, release, shared_dir, text_key, written
 
 GRAM = 12
-FAN = 3  # runs that are merged into one
-BATCHES = 4
+FAN = 2  # runs that are merged into one
+BATCHES = 3
 
 
 def _sliding_min(x: np.ndarray, m: int) -> np.ndarray:
@@ -200,6 +200,7 @@ def _bucketed(df: DataFrame, where: str, buckets: int, key: str, order: list[str
     w = rows.write.mode("overwrite").option("compression", "zstd").option("path", where).bucketBy(buckets, key)
     (w.sortBy(*order) if order else w).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
+    _tidy(df.sparkSession)
 
 
 def _open_bucketed(spark: SparkSession, where: str, columns: str, buckets: int, key: str, order: list[str]) -> DataFrame:
@@ -281,7 +282,7 @@ class FingerprintIndex:
 
         ``at`` is the first window (place of its first word), bit o of ``mask``
         says that window ``at + o`` also starts elsewhere, in the batch or in an
-        earlier one. Rows are those of the batch, and of earlier documents whose
+        earlier one. The tables that the result reads are ``held`` until it is written. Rows are those of the batch, and of earlier documents whose
         windows were the only ones until now; ``history`` has these documents (from
         it the few that must be verified are fetched). ``batch`` numbers the batch; one that is
         added again under its number is not counted again.
@@ -310,16 +311,15 @@ class FingerprintIndex:
             mine = [new.join(more.hint("merge"), "h", "left_semi")] + [new.join(o.select("h").hint("merge"), "h", "left_semi") for o in olds]
             theirs = [o.join(new.select("h").hint("merge"), "h", "left_semi") for o in olds]
             self.plans = [x._jdf.queryExecution().toString() for x in mine[1:] + theirs]
-            parts = [x.withColumns({"old": F.lit(0).cast("long")}) for x in mine[:1]]
-            parts += [x.withColumns({"old": F.lit(0).cast("long")}) for x in mine[1:]] + [x.withColumns({"old": F.col("c")}) for x in theirs]
-            met = written(reduce(DataFrame.unionByName, [x.select("h", "around", "c", "old", "id") for x in parts]), "met")
+            # An entry of the new run may meet several runs.
+            met = [x.withColumn("old", F.lit(0).cast("long")) for x in mine] + [x.withColumn("old", F.col("c")) for x in theirs]
+            met = reduce(DataFrame.unionByName, met)
+            fresh = F.max(F.when(F.col("old") == 0, F.col("c")))
+            sums = [F.sum("old").alias("old"), F.coalesce(fresh, F.lit(0)).alias("fresh"), F.min(F.when(F.col("old") > 0, F.col("id"))).alias("old_id"), F.min("id").alias("any_id")]
+            classes = met.groupBy("h", "around").agg(*sums).withColumn("c", F.col("old") + F.col("fresh"))
+            classes = classes.withColumn("late", F.col("old") == 1).withColumn("id", F.when(F.col("late"), F.col("old_id")).otherwise(F.col("any_id")))
+            classes = written(classes.select("h", "around", "c", "late", "id"), "classes")
         _close(new, *olds)
-        # An entry of the new run may have met several runs.
-        fresh = F.max(F.when(F.col("old") == 0, F.col("c")))
-        sums = [F.sum("old").alias("old"), F.coalesce(fresh, F.lit(0)).alias("fresh"), F.min(F.when(F.col("old") > 0, F.col("id"))).alias("old_id"), F.min("id").alias("any_id")]
-        classes = met.groupBy("h", "around").agg(*sums).withColumn("c", F.col("old") + F.col("fresh"))
-        classes = classes.withColumn("late", F.col("old") == 1).withColumn("id", F.when(F.col("late"), F.col("old_id")).otherwise(F.col("any_id")))
-        classes = written(classes.select("h", "around", "c", "fresh", "late", "id"), "classes")
         # Only a fingerprint of several classes needs its windows compared.
         several = classes.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h", F.lit(True).alias("several"))
         asked = classes.join(several, "h", "left").withColumn("several", F.coalesce("several", F.lit(False))).filter("several or late")
@@ -333,10 +333,11 @@ class FingerprintIndex:
         partly = sent.filter("c = 1").join(twice, ["h", "x"]).groupBy("h", "around").agg(F.expr("bit_or(shiftleft(1L, o))").alias("mask"))
         # All windows of a class that occurs twice.
         wholly = classes.filter("c > 1").select("h", "around", F.lit(-1).cast("long").alias("mask"))
-        masks = written(wholly.unionByName(partly), "masks")
+        masks = wholly.unionByName(partly)
         every = F.expr("shiftleft(1L, n) - 1")
         ours = found.join(masks, ["h", "around"])
         late = got.filter("late").join(masks, ["h", "around"])
+        self.held = (found, classes, got)
         return reduce(DataFrame.union, [x.select("id", "k", "at", F.col("mask").bitwiseAND(every).alias("mask")) for x in (ours, late)])
 
 
@@ -367,7 +368,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for i in range(batches):
         new, old = texts.filter(part == i), texts.filter(part < i)
         marks.append(written(index.add(new, "id", "text", old if i else None, i), "marks"))
-        if len(index.runs()) >= index.fan:
+        release(*index.held)
+        if i + 1 < batches and len(index.runs()) >= index.fan:
             index.compact()
     index.drop()
     per = reduce(DataFrame.unionByName, marks).groupBy(F.col("id").alias("__mid"), F.col("k").alias("__mk")).agg(F.collect_set(F.struct("at", "mask")).alias("__marks"))
