@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.plans import queries_kernels, queries_more, queries_reads, queries_relational, queries_scalar, queries_variants  # noqa: F401
+from readloom.plans import queries_alignments, queries_kernels,queries_more, queries_reads, queries_relational, queries_scalar, queries_variants  # noqa: F401
 from readloom.plans.registry import QUERIES, SQL
 
 

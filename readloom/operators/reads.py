@@ -99,9 +99,14 @@ def pair_alignment_ok(mapq: Column, frac: Column, reverse: Column, end_gap: Colu
     return (mapq >= 50) & (frac > 0.8) & reverse & (end_gap <= 500) & (overlap > 50)
 
 
+def last_pairs(pairs: DataFrame) -> DataFrame:
+    """(template_id, complement_id): of the lines of a template the last."""
+    return pairs.groupBy("template_id").agg(F.max_by("complement_id", "line").alias("complement_id"))
+
+
 def pairs_from_list(reads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Reads of listed pairs, side by side; all others are dropped. The last line of a template wins."""
-    last = pairs.groupBy("template_id").agg(F.max_by("complement_id", "line").alias("complement_id"))
+    last = last_pairs(pairs)
     t = reads.select(*[F.col(c).alias(f"template_{c}") for c in reads.columns if c != "read_id"], F.col("read_id").alias("template_id"))
     c = reads.select(*[F.col(c).alias(f"complement_{c}") for c in reads.columns if c != "read_id"], F.col("read_id").alias("complement_id"))
     return last.join(t, "template_id").join(c, "complement_id")

@@ -35,8 +35,11 @@ def by_channel(spark, d):
 
 @query("src15_read_list", "SELECT DISTINCT md5(CAST(doc_id AS VARCHAR)) AS read_id FROM labels")
 def read_list(spark, d):
+    from readloom.sources.text import parse_list
+
     t = spark.read.parquet(f"{d}/labels.parquet")
-    return t.select(F.trim(F.concat(F.lit(" "), F.md5(F.col("doc_id").cast("string")), F.lit(" "))).alias("read_id")).filter("read_id != ''").distinct()
+    line = F.concat(F.lit(" "), F.md5(F.col("doc_id").cast("string")), F.lit("  "))
+    return parse_list(t.select(F.explode(F.array(line, F.lit("  "), F.trim(line))).alias("value")))
 
 
 @query("src17_sam_lines", f"WITH {RECORDS} SELECT qname, flag, rname, pos, mapq, cigar, CAST(nm AS VARCHAR) AS nm, len_r AS ref_span FROM records")
@@ -125,11 +128,6 @@ def time_neighbours(spark, d):
     return relation(spark, d, "reads").select("read_id", F.lag("read_id").over(w).alias("earlier"), F.lead("read_id").over(w).alias("later"))
 
 
-@query("win08_candidate_samples", f'WITH {cte("hits")} SELECT hit, greatest(start - 50, 0) AS start, start + 51 AS "end" FROM hits')
-def candidate_samples(spark, d):
-    return relation(spark, d, "hits").select("hit", F.greatest(F.col("start") - 50, F.lit(0)).alias("start"), (F.col("start") + 51).alias("end"))
-
-
 @query("win11_sliding_stats", "WITH w AS (SELECT vec_id, unnest(generate_series(0, 54, 3)) AS i, embedding AS e FROM embeddings), s AS (SELECT vec_id, i, list_transform(e[i + 1:i + 10], lambda x: CAST(x AS DOUBLE)) AS p FROM w) SELECT vec_id, i AS start, round(list_sum(p) / 10, 6) AS mean FROM s")
 def sliding(spark, d):
     at = F.explode(F.sequence(F.lit(0), F.lit(54), F.lit(3))).alias("start")
@@ -222,14 +220,18 @@ def umis(spark, d):
     return relation(spark, d, "reads").select("read_id", "seq").mapInPandas(run, "read_id string, umi string")
 
 
-@query("agg25_chunk_stitch", "SELECT CAST(vec_id AS VARCHAR) AS read_id, 64 AS bases FROM embeddings")
+@query("agg25_chunk_stitch", "SELECT CAST(vec_id AS VARCHAR) AS read_id, array_to_string(list_transform(list_filter(generate_series(1, len(embedding)), lambda i: embedding[i] > 0), lambda i: substring('ACGT', CAST((i - 1) % 4 + 1 AS INTEGER), 1)), '') AS seq FROM embeddings")
 def chunk_stitch(spark, d):
+    """A model that calls a base, by its place, at each sample above 0: stitched chunks
+    must give what one call of the whole signal gives."""
+
     def model():
         def call(b: pd.DataFrame) -> pd.DataFrame:
-            n = [len(x) for x in b["chunk"]]
-            return pd.DataFrame({"read_id": b["read_id"], "offset": b["offset"], "seq": ["A" * k for k in n], "qstring": ["I" * k for k in n], "moves": [[1] * k for k in n]})
+            moves = [(np.asarray(x) > 0).astype(int) for x in b["chunk"]]
+            seqs = ["".join("ACGT"[i % 4] for i in (np.flatnonzero(m) + o).tolist()) for m, o in zip(moves, b["offset"], strict=True)]
+            return pd.DataFrame({"read_id": b["read_id"], "offset": b["offset"], "seq": seqs, "qstring": ["I" * len(s) for s in seqs], "moves": [m.tolist() for m in moves]})
 
         return call
 
     called = P.predict(P.chunked(_signals(spark, d), 20, 6), model, "read_id string, offset long, seq string, qstring string, moves array<int>")
-    return P.stitched(called, 1).select("read_id", F.length("seq").alias("bases"))
+    return P.stitched(called, 1).select("read_id", "seq")

@@ -59,12 +59,6 @@ def skip_sec_supp(spark, d):
     return R.primary_only(relation(spark, d, "records")).select("rec", "qname", "flag")
 
 
-@query("flt05_pileup_read_filter", f"WITH {RECORDS} SELECT rec FROM records WHERE flag & 3844 = 0 AND mapq >= 10 AND greatest(0.0, least(1.0, 1 - CASE WHEN 15 + 2 * CAST(regexp_extract(cigar, 'S(\\d+)M', 1) AS INT) > 0 THEN (2 + (nm % 2)) / 1000.0 ELSE 0 END)) >= 0.5 AND (hp IS NULL OR (hp = 1 AND rg_id = 'rg3'))")
-def pileup_filter(spark, d):
-    rec = relation(spark, d, "records").withColumn("snp_accuracy", F.lit(0.9))
-    return R.pileup_filter(rec, 10, 0.5, "hp", 1, True, "rg3").select("rec")
-
-
 @query("flt07_barcode_permitted", f"WITH {READS}, {SHEET} SELECT read_id, barcode FROM reads WHERE CASE WHEN barcode = 'unclassified' THEN barcode ELSE 'barcode' || regexp_extract(barcode, '(\\d+)\\D*$', 1) END IN (SELECT 'barcode' || regexp_extract(barcode, '(\\d+)\\D*$', 1) FROM sheet WHERE row % 2 = 0)")
 def barcode_permitted(spark, d):
     allowed = relation(spark, d, "sheet").filter("row % 2 = 0").select(seq.normalize_barcode(F.col("barcode")).alias("norm")).distinct()
@@ -158,7 +152,7 @@ def sheet_valid(spark, d):
 
 @query("src16_pairs_last_wins", f"WITH {READS} SELECT channel AS template_id, arg_max(read_id, n) AS complement_id FROM reads GROUP BY channel")
 def pairs_last(spark, d):
-    return relation(spark, d, "reads").groupBy(F.col("channel").alias("template_id")).agg(F.max_by("read_id", "n").alias("complement_id"))
+    return R.last_pairs(relation(spark, d, "reads").select(F.col("channel").alias("template_id"), F.col("read_id").alias("complement_id"), F.col("n").alias("line")))
 
 
 @query("src18_read_group_from_tags", f"WITH {READS} SELECT read_id, run_id AS rg_run, 'hac' AS rg_model FROM reads")
@@ -204,15 +198,6 @@ def parents(spark, d):
     return relation(spark, d, "reads").select("read_id", two.alias("is_duplex"), F.when(two, F.get(p, F.lit(0))).alias("template_id"), F.when(two, F.get(p, F.lit(1))).alias("complement_id"))
 
 
-@query("prj03_alignment_metrics", f"WITH {RECORDS} SELECT rec, pos + 1 AS genome_start, pos + len_r + 1 AS genome_end, round((len_r - 10) / CAST(len_r AS DOUBLE), 6) AS identity, round((len_r - 10) / CAST(len_r + 5 AS DOUBLE), 6) AS accuracy, round(len_r / CAST(least(len_q, 100000) AS DOUBLE), 6) AS coverage FROM records")
-def metrics(spark, d):
-    correct, aligned = F.col("len_r") - 10, F.col("len_r")
-    return relation(spark, d, "records").select(
-        "rec", (F.col("pos") + 1).alias("genome_start"), (F.col("pos") + F.col("len_r") + 1).alias("genome_end"),
-        F.round(correct / aligned, 6).alias("identity"), F.round(correct / (aligned + 5), 6).alias("accuracy"), F.round(aligned / F.least("len_q", F.lit(100000)), 6).alias("coverage"),
-    )
-
-
 @query("prj05_read_attributes", f"WITH {READS}, {GROUPS} SELECT read_id, rg_flowcell, rg_run, rg_model, string_split(string_split(ds, ' ')[1], '=')[2] AS ds_runid FROM reads r LEFT JOIN groups g ON r.rg_id = g.rg_id")
 def attributes(spark, d):
     g = relation(spark, d, "groups").withColumn("ds_runid", seq.description_field(F.col("ds"), "runid"))
@@ -271,13 +256,6 @@ def tid_remap(spark, d):
     return num.join(R.merge_headers(num), ["name", "length"]).select("file", F.col("tid").alias("old_tid"), "new_tid")
 
 
-@query("prj15_strip_alignment", f"WITH {RECORDS} SELECT rec, 4 AS flag, '*' AS rname, -1 AS pos, 'RG' AS tags FROM records")
-def strip_alignment(spark, d):
-    tags = F.create_map(F.lit("NM"), F.col("nm").cast("string"), F.lit("RG"), F.col("rg_id"), F.lit("SA"), F.lit("x"))
-    kept = F.map_filter(tags, lambda k, _: ~k.isin("NM", "SA", "AS", "MD", "cm", "s1", "s2", "de", "rl", "ms", "nn", "tp"))
-    return relation(spark, d, "records").select("rec", F.lit(4).alias("flag"), F.lit("*").alias("rname"), F.lit(-1).alias("pos"), F.array_join(F.map_keys(kept), ",").alias("tags"))
-
-
 @query("prj17_sub_reads", f"WITH {READS}, p AS (SELECT read_id, seq, unnest([0, 1]) AS i, seq_len FROM reads WHERE seq_len >= 4) SELECT read_id AS parent_read_id, CAST(i AS INTEGER) AS subread_id, CASE i WHEN 0 THEN substring(seq, 1, seq_len // 2) ELSE substring(seq, seq_len // 2 + 1, seq_len) END AS seq FROM p")
 def sub_reads(spark, d):
     half = F.floor(F.col("seq_len") / 2).cast("int")

@@ -194,11 +194,6 @@ def supported(spark, d):
     return c.filter("n >= 3").groupBy("pos").agg(F.count("*").alias("k")).filter("k >= 2").select("pos")
 
 
-@query("agg23_max_insertion", f"WITH {RECORDS} SELECT rname, pos, max(CAST(regexp_extract(cigar, '(\\d+)I', 1) AS INTEGER)) AS max_ins FROM records GROUP BY rname, pos")
-def max_insertion(spark, d):
-    return relation(spark, d, "records").groupBy("rname", "pos").agg(F.max(F.regexp_extract("cigar", r"(\d+)I", 1).cast("int")).alias("max_ins"))
-
-
 @query("agg24_window_concatenation", "WITH w AS (SELECT l_orderkey AS name, l_linenumber AS i, CASE WHEN max(l_quantity) < 10 THEN '' ELSE strftime(max(l_shipdate), '%d') END AS part FROM lineitem GROUP BY l_orderkey, l_linenumber), k AS (SELECT *, sum(CASE WHEN part = '' THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY i) AS g FROM w), p AS (SELECT name, g, string_agg(part, '' ORDER BY i) AS seq, row_number() OVER (PARTITION BY name ORDER BY g) - 1 AS n, count(*) OVER (PARTITION BY name) AS parts FROM k WHERE part <> '' GROUP BY name, g) SELECT CASE WHEN parts = 1 THEN CAST(name AS VARCHAR) ELSE name || ':' || n END AS name, seq FROM p")
 def concatenation(spark, d):
     from readloom.operators.consensus import join_windows
@@ -230,19 +225,6 @@ def batch_size(spark, d):
     return best.filter("speed >= best / 1.1").groupBy("l_suppkey").agg(F.min("batch").alias("batch"))
 
 
-@query("joi15_overlap_piles", "SELECT a.l_partkey AS part, count(*) AS overlaps, count(DISTINCT a.l_orderkey) AS targets FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY a.l_partkey")
-def piles(spark, d):
-    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_orderkey")
-    j = t.join(t.select("l_partkey", F.col("l_orderkey").alias("other")), "l_partkey").filter("l_orderkey < other")
-    return j.groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("overlaps"), F.countDistinct("l_orderkey").alias("targets"))
-
-
-@query("flt09_first_pair", "SELECT l_partkey AS q, l_suppkey AS t, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL")
-def first_pair(spark, d):
-    t = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_partkey != l_suppkey")
-    return t.groupBy(F.col("l_partkey").alias("q"), F.col("l_suppkey").cast("long").alias("t")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("first"))
-
-
 @query("top01_topk_overlaps", f"WITH {RECORDS} SELECT rname, rec, CAST(rk AS INTEGER) AS rank FROM (SELECT rname, rec, row_number() OVER (PARTITION BY rname ORDER BY mapq DESC, qname, rec) AS rk FROM records) WHERE rk <= 30")
 def topk(spark, d):
     w = Window.partitionBy("rname").orderBy(F.desc("mapq"), "qname", "rec")

@@ -46,11 +46,6 @@ def split(spark, d):
     return t.select("event_id", F.size(S.split_all(F.col("props"), ",")).cast("long").alias("parts"), F.size(S.split_view(F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props")), ",")).cast("long").alias("view_parts"))
 
 
-@query("str07_join", "SELECT n_nationkey, concat_ws('|', n_name, CAST(n_regionkey AS VARCHAR), 'x') AS joined FROM nation")
-def join(spark, d):
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.concat_ws("|", "n_name", "n_regionkey", F.lit("x")).alias("joined"))
-
-
 @query("str08_text_predicates", "SELECT p_partkey, starts_with(p_name, 'a') AS sw, suffix(p_name, 'e') AS ew, contains(p_name, 'o') AS c, upper(p_name) AS u, rtrim(p_name || '  ') AS r FROM part")
 def predicates(spark, d):
     n = F.col("p_name")

@@ -84,11 +84,6 @@ def shares(spark, d):
     return V.normalised_counts(c).select("pos", F.round("r_fwd", 6).alias("share"))
 
 
-@query("prj24_gapped_draft", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN substring(md5(CAST(l_orderkey AS VARCHAR)), 1, 1) ELSE '*' END AS base FROM lineitem")
-def draft(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 1)).otherwise("*").alias("base"))
-
-
 @query("agg10_gvcf_compaction")
 def compaction(spark, d):
     r = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("chr"), (F.col("user_id") % 7).cast("string")).alias("seq_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "click", "0/1").otherwise("0/0").alias("gt"), (F.col("event_id") * 31 % 60).cast("int").alias("gq"))

@@ -153,8 +153,13 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
+def parse_list(lines: DataFrame) -> DataFrame:
+    """The distinct ids of lines, blanks around them and empty lines aside."""
+    return lines.select(F.trim("value").alias("read_id")).filter("read_id != ''").distinct()
+
+
 def read_list(spark: SparkSession, path) -> DataFrame:
-    return _lines(spark, path).select(F.trim("value").alias("read_id")).filter("read_id != ''").distinct()
+    return parse_list(_lines(spark, path))
 
 
 def read_pairs(spark: SparkSession, path) -> DataFrame:
