@@ -193,10 +193,11 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _bucketed(df: DataFrame, where: str, buckets: int, key: str, order: list[str]) -> None:
-    """df as Parquet at ``where``, one file a bucket, sorted inside."""
+def _bucketed(df: DataFrame, where: str, buckets: int, key: str, order: list[str], dealt: bool = False) -> None:
+    """df as Parquet at ``where``, one file a bucket, sorted inside. Rows that already
+    lie in the buckets' partitions (``dealt``) don't move."""
     name = f"readloom_{uuid.uuid4().hex}"
-    rows = df.repartition(buckets, key)
+    rows = df if dealt else df.repartition(buckets, key)
     w = rows.write.mode("overwrite").option("compression", "zstd").option("path", where).bucketBy(buckets, key)
     (w.sortBy(*order) if order else w).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")
@@ -257,22 +258,26 @@ class FingerprintIndex:
     def drop(self) -> None:
         drop_table(self.spark, self.path)
 
-    def _write(self, classes: DataFrame, low: int, high: int) -> Run:
+    def _write(self, classes: DataFrame, low: int, high: int, dealt: bool = False) -> Run:
         run = Run(low, high, self.buckets, f"{self.path}/run-{low:06d}-{high:06d}-of-{self.buckets}")
-        _bucketed(classes, run.path, self.buckets, "h", ["h"])
+        _bucketed(classes, run.path, self.buckets, "h", ["h"], dealt)
         return run
 
     def _read(self, run: Run) -> DataFrame:
         return _open_bucketed(self.spark, run.path, f"h BIGINT, around BIGINT, c BIGINT, id {self.id_type}", run.buckets, "h", ["h"])
 
     def compact(self) -> None:
-        """Merges all runs into one."""
+        """Merges all runs into one, bucket by bucket: nothing is shuffled."""
         old = self.runs()
         if len(old) < 2:
             return
         tables = [self._read(r) for r in old]
-        rows = reduce(DataFrame.union, tables).repartition(self.buckets, "h")
-        self._write(rows.groupBy("h", "around").agg(F.sum("c").alias("c"), F.min("id").alias("id")), old[0].low, max(r.high for r in old))
+        # The union of tables in equal buckets keeps them, so the sums form where the rows are.
+        with _settings(self.spark, spark__sql__unionOutputPartitioning="true"):
+            merged = reduce(DataFrame.union, tables).groupBy("h", "around").agg(F.sum("c").alias("c"), F.min("id").alias("id"))
+            self.plans = [merged._jdf.queryExecution().executedPlan().toString()]
+            dealt = "Exchange" not in self.plans[0]
+            self._write(merged, old[0].low, max(r.high for r in old), dealt)
         _close(*tables)
         for r in old:
             drop_table(self.spark, r.path)

@@ -499,6 +499,7 @@ def test_index_over_batches(spark, tmp_path):
         seen += rows
         if i == 1:
             index.compact()
+            assert "Exchange" not in index.plans[0] and "SelectedBucketsCount" in index.plans[0]  # merged where the rows are
             assert len(index.runs()) == 1
     with pytest.raises(ValueError):
         index.add(df(batches[0]), history=df(seen), batch=0)
