@@ -112,6 +112,18 @@ def valid_mod_code(code: Column) -> Column:
     return code.rlike("^([A-Za-z]|[0-9]+)$")
 
 
+def mod_tags(seq: Column, probs: Column, base: str, code: str, threshold: int = 0) -> Column:
+    """MM and ML of one modification: how many ``base``s are passed over before each one whose
+    probability (0..255, one a base of the read) is above the threshold, and those probabilities."""
+    places = F.filter(F.arrays_zip(F.split(seq, "").alias("b"), probs.alias("p")), lambda x: x["b"] == base)
+    numbered = F.transform(places, lambda x, i: F.struct(i.alias("i"), x["p"].alias("p")))
+    called = F.filter(numbered, lambda x: x["p"] > threshold)
+    before = lambda k: F.coalesce(F.get(called, k - 1)["i"], F.lit(-1))
+    skips = F.transform(called, lambda x, k: F.concat(F.lit(","), (x["i"] - before(k) - 1).cast("string")))
+    mm = F.concat(F.lit(f"{base}+{code}?"), F.array_join(skips, ""), F.lit(";"))
+    return F.struct(mm.alias("mm"), F.transform(called, lambda x: x["p"]).alias("ml"))
+
+
 def parse_region(text: Column) -> Column:
     """name, start (0-based) and end from ``name``, ``name:``, ``name:a-b``, ``name:-b``; null is open."""
     at = F.regexp_extract(text, r"^(.*?)(?::(\d*)(?:-(\d*))?)?$", 2)

@@ -114,21 +114,6 @@ def mux_change_trim(qual: np.ndarray, mux_change: bool = True, least_len: int =
     return keep if np.floor(np.float32(n) * np.float32(least_kept)) <= keep < n - least_trim else n
 
 
-def encode_mods(seq: str, probs: np.ndarray, base: str, code: str, threshold: int = 0) -> tuple[str, list[int]]:
-    """MM and ML of one modification: the numbers of unmodified bases between called
-    ones and the called ones' probabilities (0..255). ``probs`` has one value a base."""
-    skips, ml, skip = [], [], 0
-    for b, p in zip(seq, probs.tolist(), strict=True):
-        if b == base:
-            if p > threshold:
-                skips.append(skip)
-                ml.append(int(p))
-                skip = 0
-            else:
-                skip += 1
-    return f"{base}+{code}?" + "".join(f",{s}" for s in skips) + ";", ml
-
-
 def trim_mods(mm: str, ml: list[int], seq: str, begin: int, end: int) -> tuple[str, list[int]]:
     """MM and ML of seq[begin:end]."""
     out, probs, at = [], [], 0

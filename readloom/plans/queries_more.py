@@ -170,15 +170,27 @@ def _each(df, column, kinds, f):
     return df.select("read_id", column).mapInPandas(run, ", ".join(["read_id string", *kinds]))
 
 
-@query("prj16_mux_change_trim")
+@query("prj16_mux_change_trim", f"""WITH {READS}, b AS (SELECT n, length(qstring) AS len, unnest(generate_series(1, length(qstring))) AS j, reverse(qstring) AS q FROM reads),
+t AS (SELECT n, len, j, sum(CASE WHEN j <= n % 61 THEN -1 WHEN ascii(substring(q, j, 1)) - 33 <= 7 THEN -1 WHEN ascii(substring(q, j, 1)) - 33 <= 12 THEN 1 ELSE 10 END) OVER (PARTITION BY n ORDER BY j) AS total FROM b),
+k AS (SELECT n, len, total, len - 1 - max(j) AS keep FROM t GROUP BY n, len, total QUALIFY total = min(total) OVER (PARTITION BY n))
+SELECT read_id, CAST(CASE WHEN len >= 20 AND total <= -1 AND keep >= floor(CAST(len AS FLOAT) * CAST(0.3 AS FLOAT)) AND keep < len - 5 THEN keep ELSE len END AS INTEGER) AS keep FROM k JOIN reads USING (n)""")
 def mux_trim(spark, d):
-    q = relation(spark, d, "reads").select("read_id", F.transform(F.filter(F.split("qstring", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33).alias("q"))
+    """The test reads are good to their ends: the last n % 61 bases are taken as bad."""
+    bad = lambda i: F.length("qstring") - i <= F.col("n") % 61
+    q = relation(spark, d, "reads").select("read_id", F.transform(F.split("qstring", ""), lambda c, i: F.when(bad(i), 2).otherwise(F.ascii(c) - 33)).alias("q"))
     return _each(q, "q", ["keep int"], lambda x: (G.mux_change_trim(x, least_len=20),))
 
 
-@query("prj19_signal_trim")
+SAMPLES = "samples AS (SELECT vec_id, least(len(embedding), 8000) AS n, unnest(generate_series(0, len(embedding) - 1)) AS i, CAST(unnest(embedding) * 10 AS FLOAT) AS x FROM embeddings)"
+
+
+@query("prj19_signal_trim", f"""WITH {SAMPLES}, w AS (SELECT vec_id, n, (i - 4) // 8 AS k, count(*) FILTER (4 * x > CAST(2.4 AS FLOAT)) AS above, arg_max(4 * x, i) AS last_x FROM samples WHERE i >= 4 AND i < 4 + (n - 4) // 8 * 8 GROUP BY ALL),
+p AS (SELECT *, max(above) OVER (PARTITION BY vec_id ORDER BY k) > 3 AS peak FROM w),
+f AS (SELECT vec_id, n, 12 + 8 * min(k) FILTER (peak AND last_x <= CAST(2.4 AS FLOAT)) AS cut FROM p GROUP BY vec_id, n)
+SELECT CAST(e.vec_id AS VARCHAR) AS read_id, CAST(CASE WHEN cut < n - 4 THEN cut ELSE 4 END AS INTEGER) AS cut FROM embeddings e LEFT JOIN f USING (vec_id)""")
 def signal_trim(spark, d):
-    return _each(_signals(spark, d), "signal", ["cut int"], lambda x: (G.trim_start(x, window=8, least=4),))
+    high = _signals(spark, d).withColumn("signal", F.transform("signal", lambda x: (x * 4).cast("float")))
+    return _each(high, "signal", ["cut int"], lambda x: (G.trim_start(x, window=8, least=4),))
 
 
 @query("prj20_rna_adapter_end")
@@ -191,19 +203,21 @@ def tails(spark, d):
     return _each(_signals(spark, d), "signal", ["bases int"], lambda x: (G.poly_tail(x, 32, 2.0, 3, 2, 0.8),))
 
 
-@query("krn13_pore_regions")
+@query("krn13_pore_regions", f"""WITH {SAMPLES}, t AS (SELECT vec_id, x, CASE WHEN i - lag(i) OVER (PARTITION BY vec_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS opens FROM samples WHERE x > 2)
+SELECT CAST(e.vec_id AS VARCHAR) AS read_id, CAST(coalesce(sum(opens), 0) AS INTEGER) AS regions, CAST(coalesce(max(x), 0) AS DOUBLE) AS peak FROM embeddings e LEFT JOIN t USING (vec_id) GROUP BY e.vec_id""")
 def pores(spark, d):
     return _each(_signals(spark, d), "signal", ["regions int", "peak double"], lambda x: (len(r := G.pore_regions(x, 2.0, 3)), max((p[3] for p in r), default=0.0)))
 
 
-@query("prj21_modbase_tags")
+@query("prj21_modbase_tags", f"""WITH {READS}, b AS (SELECT n, seq, qstring, unnest(generate_series(1, length(seq))) AS i FROM reads),
+c AS (SELECT n, i, ascii(substring(qstring, i, 1)) - 33 AS p, row_number() OVER (PARTITION BY n ORDER BY i) AS r FROM b WHERE substring(seq, i, 1) = 'C'),
+m AS (SELECT n, i, p, r - coalesce(lag(r) OVER (PARTITION BY n ORDER BY i), 0) - 1 AS skip FROM c WHERE p > 20),
+g AS (SELECT n, string_agg(',' || skip, '' ORDER BY i) AS skips, string_agg(CAST(p AS VARCHAR), ',' ORDER BY i) AS ml FROM m GROUP BY n)
+SELECT read_id, 'C+m?' || coalesce(skips, '') || ';' AS mm, coalesce(ml, '') AS ml FROM reads LEFT JOIN g USING (n)""")
 def mod_tags(spark, d):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [G.encode_mods(s, np.frombuffer(q.encode(), np.uint8) - 33, "C", "m", 20) for s, q in zip(b["seq"], b["qstring"], strict=True)]
-            yield pd.DataFrame({"read_id": b["read_id"], "mm": [o[0] for o in out], "ml": [len(o[1]) for o in out]})
-
-    return relation(spark, d, "reads").select("read_id", "seq", "qstring").mapInPandas(run, "read_id string, mm string, ml int")
+    probs = F.transform(F.split("qstring", ""), lambda c: F.ascii(c) - 33)
+    tags = S.mod_tags(F.col("seq"), probs, "C", "m", 20)
+    return relation(spark, d, "reads").select("read_id", tags.alias("t")).select("read_id", "t.mm", F.array_join(F.transform("t.ml", lambda p: p.cast("string")), ",").alias("ml"))
 
 
 @query("str20_infix_distance")

@@ -68,9 +68,16 @@ def test_barcodes():
     assert got == [*want, "unclassified"]
 
 
-def test_mods_round_trip():
+def test_mods_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from readloom.functions import seq as Q
+
     seq = "ACCTCGCC"
-    mm, ml = S.encode_mods(seq, np.array([0, 200, 0, 0, 30, 0, 0, 90]), "C", "m")
+    rows = spark.createDataFrame([(seq, [0, 200, 0, 0, 30, 0, 0, 90]), ("", []), ("AAG", [9, 9, 9]), ("CC", [0, 0]), (None, None)], "seq string, p array<int>")
+    got = [(r.mm, r.ml) for r in rows.select(Q.mod_tags(F.col("seq"), F.col("p"), "C", "m").alias("t")).select("t.*").collect()]
+    mm, ml = got[0]
+    assert got[1:] == [("C+m?;", [])] * 3 + [(None, None)]
     assert (mm, ml) == ("C+m?,0,1,1;", [200, 30, 90])
     assert S.trim_mods(mm, ml, seq, 2, 8) == ("C+m?,1,1;", [30, 90])
 
