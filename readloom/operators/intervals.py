@@ -29,14 +29,26 @@ def merge_intervals(df: DataFrame, key: list[str], start: str = "start", end: st
 
 
 def complement(regions: DataFrame, covered: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """What of disjoint regions no covered interval takes."""
-    merged = merge_intervals(covered, key, start, end).select(*[F.col(k).alias(f"__{k}") for k in key], F.col(start).alias("__s"), F.col(end).alias("__e"))
-    on = [regions[k] == merged[f"__{k}"] for k in key] + [merged["__s"] < regions[end], merged["__e"] > regions[start]]
-    cut = regions.join(merged, on, "left").select(*key, F.col(start).alias("rs"), F.col(end).alias("re"), F.when(F.col("__s").isNotNull(), F.greatest("__s", start)).alias("s"), F.when(F.col("__e").isNotNull(), F.least("__e", end)).alias("e"))
-    w = Window.partitionBy(*key, "rs", "re").orderBy("s")
-    inner = cut.select(*key, F.coalesce(F.lag("e").over(w), F.col("rs")).alias(start), F.coalesce("s", "re").alias(end))
-    tail = cut.groupBy(*key, "rs", "re").agg(F.max("e").alias("e")).filter("e < re").select(*key, F.col("e").alias(start), F.col("re").alias(end))
-    return inner.union(tail).filter(F.col(start) < F.col(end))
+    """What of disjoint regions no covered interval takes.
+
+    The join is by bins of the inputs' mean lengths; unions are together no longer than what
+    they unite, so that neither side has more than about two copies a row. A row at the end
+    of each region closes its last gap.
+    """
+    size = max(_mean_length(regions, start, end), _mean_length(covered, start, end))
+    spans = regions.select(*key, F.col(start).alias("rs"), F.col(end).alias("re"))
+    hits = overlap_join(regions.select(*key, start, end), merge_intervals(covered, key, start, end), key, start=start, end=end, bin_size=size)
+    hits = hits.select(*key, F.col(start).alias("rs"), F.col(end).alias("re"), F.col(f"r_{start}").alias("s"), F.col(f"r_{end}").alias("e"))
+    cut = hits.unionByName(spans.withColumns({"s": F.col("re"), "e": F.col("re")}))
+    before = F.lag("e").over(Window.partitionBy(*key, "rs", "re").orderBy("s", "e"))
+    return cut.select(*key, F.coalesce(before, F.col("rs")).alias(start), F.col("s").alias(end)).filter(F.col(start) < F.col(end))
+
+
+def processed_regions(samples: DataFrame, key: list[str], merge: bool = False, start: str = "start", end: str = "end") -> DataFrame:
+    """(key, start, end) of the regions that samples [start, end) cover; empty ones are left
+    out. Distinct ones, or, merged, unions of those that overlap or touch."""
+    kept = samples.select(*key, start, end).filter(F.col(start) < F.col(end))
+    return merge_intervals(kept, key, start, end) if merge else kept.distinct()
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, inclusive: bool = False) -> Column:

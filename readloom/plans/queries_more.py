@@ -86,9 +86,16 @@ def fasta(spark, d):
     return relation(spark, d, "reads").select(fasta_line(F.col("read_id"), F.col("seq")).alias("line"))
 
 
-@query("snk18_processed_regions", f'WITH {BED} SELECT DISTINCT genome || chr(9) || start || chr(9) || "end" AS line FROM bed')
+@query("snk18_processed_regions", f"""WITH {BED}, iv AS (SELECT DISTINCT genome, start, start + ("end" - start) * 2 - 5 AS stop FROM bed WHERE start <= start + ("end" - start) * 2 - 5),
+n AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY genome ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS opens FROM iv),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY genome ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT false AS merged, genome || chr(9) || start || chr(9) || (stop + 1) AS line FROM iv UNION ALL SELECT true, genome || chr(9) || min(start) || chr(9) || (max(stop) + 1) FROM g GROUP BY genome, island""")
 def regions(spark, d):
-    return relation(spark, d, "bed").select("genome", "start", "end").distinct().select(F.concat_ws("\t", "genome", "start", "end").alias("line"))
+    from readloom.operators.intervals import processed_regions
+
+    samples = relation(spark, d, "bed").select("genome", "start", (F.col("start") + (F.col("end") - F.col("start")) * 2 - 4).alias("end"))
+    both = [processed_regions(samples, ["genome"], m).select(F.lit(m).alias("merged"), F.concat_ws("\t", "genome", "start", "end").alias("line")) for m in (False, True)]
+    return both[0].union(both[1])
 
 
 @query("flt08_long_indels", f"WITH {RECORDS} SELECT rec FROM records WHERE CAST(regexp_extract(cigar, '(\\d+)I', 1) AS INTEGER) <= 2 AND CAST(regexp_extract(cigar, '(\\d+)D', 1) AS INTEGER) <= 2")
