@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,15 +91,21 @@ def sequence_md5(seq: Column) -> Column:
     return F.md5(F.upper(F.regexp_replace(seq, "[^!-~]", "")))
 
 
-def motif_regex(motif: str) -> str:
-    return "".join(f"[{IUPAC[c]}]" if len(IUPAC[c]) > 1 else c for c in motif.upper())
-
-
 def motif_hits(seq: Column, motif: str, offset: int = 0) -> Column:
     """0-based positions of all matches, overlapping ones too, plus offset."""
-    k = len(motif)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)).rlike(f"^{motif_regex(motif)}$"))
-    return F.transform(starts, lambda i: (i - 1 + offset).cast("int"))
+    sets, none = [IUPAC[c] for c in motif.upper()], F.array().cast("array<int>")
+    starts = lambda n: F.when(n < len(sets), none).otherwise(F.sequence(F.lit(0), n - len(sets)))
+    at = lambda b, i: reduce(and_, [F.get(b, i + j).isin(*s) for j, s in enumerate(sets)])
+    # One array of bases, bound to a name: an expression in a lambda is computed for each element.
+    found = F.get(F.transform(F.array(F.split(seq, "")), lambda b: F.filter(starts(F.length(seq)), lambda i: at(b, i))), F.lit(0))
+    return F.transform(found, lambda i: (i + offset).cast("int"))
+
+
+def motif_mask(seq: Column, motif: str, scores: Column, least: int) -> Column:
+    """How many bases begin a match or have at least that score (one a base; missing ones count as below)."""
+    used = F.slice(F.coalesce(scores, F.array().cast("array<int>")), F.lit(1), F.length(seq))
+    above = F.filter(F.transform(used, lambda s, i: F.when(s >= least, i)), lambda i: i.isNotNull())
+    return F.size(F.array_union(motif_hits(seq, motif), above)).cast("long")
 
 
 def motif_context(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar
+from readloom.functions import numeric as N
 from readloom.functions import seq as S
 from readloom.operators import kernels as K
 from readloom.operators import predict as P
@@ -106,10 +107,7 @@ def long_indels(spark, d):
 
 @query("flt13_motif_mask", f"WITH {READS} SELECT read_id, len(list_filter(generate_series(1, length(seq)), lambda i: substring(seq, i, 2) = 'CG' OR (ascii(substring(qstring, i, 1)) - 33) >= 38)) AS kept FROM reads")
 def motif_mask(spark, d):
-    r = relation(spark, d, "reads")
-    hits, q = S.motif_hits(F.col("seq"), "CG"), F.col("qstring")
-    places = F.sequence(F.lit(0), F.length("seq") - 1)
-    return r.select("read_id", F.size(F.filter(places, lambda i: F.array_contains(hits, i) | (F.ascii(F.substr(q, i + 1, F.lit(1))) - 33 >= 38))).cast("long").alias("kept"))
+    return relation(spark, d, "reads").select("read_id", S.motif_mask(F.col("seq"), "CG", N.phred_scores(F.col("qstring")), 38).alias("kept"))
 
 
 @query("prj06_barcoding_fields", f"WITH {READS}, {GROUPS} SELECT read_id, coalesce(rg_barcode, 'unclassified') AS name FROM reads r LEFT JOIN groups g ON r.rg_id = g.rg_id")

@@ -1,5 +1,7 @@
 """Column functions on fixed inputs, kits and pile-ups."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def test_regions(spark, text, want):
     assert tuple(one(spark, seq.parse_region(F.col("t")), t=(text, "string"))) == want
 
 
+@pytest.mark.parametrize(("bases", "quals", "want"), [("ACGTCG", "!!!!!!", 2), ("ACGTCG", "!G!!!!", 2), ("ACGTCG", "G!!!G!GG", 3), ("CGCG", "G", 2), ("", "GG", 0), ("CG", None, 1), (None, "GG", None)])
+def test_motif_mask(spark, bases, quals, want):
+    got = seq.motif_mask(F.col("s"), "CG", numeric.phred_scores(F.col("q")), 38)
+    assert one(spark, got, s=(bases, "string"), q=(quals, "string")) == want
+
+
+def test_motif_mask_of_a_long_read(spark):
+    """The work grows with the read's length, not with its square: at 120,000 bases each place is looked at once."""
+    read = "ACGTRN" * 20000
+    began = time.monotonic()
+    assert one(spark, seq.motif_mask(F.col("s"), "CG", numeric.phred_scores(F.col("q")), 38), s=(read, "string"), q=("!" * len(read), "string")) == 20000
+    assert one(spark, seq.motif_hits(F.col("s"), "RAC"), s=("GACAAC" * 2, "string")) == [0, 3, 6, 9]
+    assert time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize(("text", "want"), [("none", 0), ("adapter,barcode", 5), ("adapter,none", None), ("primer", 2)])
 def test_trim_mask(spark, text, want):
     assert one(spark, seq.trim_mask(F.col("t")), t=(text, "string")) == want
