@@ -9,37 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions import cigar as C
-
-BASES = ["A", "C", "G", "T"]
-
-
-def pileup_counts(records: DataFrame) -> DataFrame:
-    """(rname, major, minor, depth, a c g t and deletions by strand): counts of the
-    aligned bases of each reference column; insertions are minor columns 1, 2, ...
-
-    Each record is exploded to its operations with their bases, and these to columns;
-    counting is an aggregation with map-side sums, so deep columns cost no skew.
-    """
-    kind = "array<struct<op:string,n:int,q:int,r:bigint>>"
-    uses = lambda o, ops: F.when(o["op"].isin(ops), o["n"]).otherwise(0)
-    step = lambda acc, o: F.struct(
-        (acc["q"] + uses(o, C.QUERY)).alias("q"),
-        (acc["r"] + uses(o, C.REFERENCE)).cast("bigint").alias("r"),
-        F.concat(acc["out"], F.array(F.struct(o["op"].alias("op"), o["n"].alias("n"), acc["q"].alias("q"), acc["r"].alias("r")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("q"), F.col("pos").cast("bigint").alias("r"), F.array().cast(kind).alias("out"))
-    ops = F.filter(F.aggregate(C.parse(F.col("cigar")), zero, step, lambda acc: acc["out"]), lambda o: o["op"].isin("M", "=", "X", "I", "D"))
-    piece = lambda o: F.when(o["op"] == "D", F.repeat(F.lit("-"), o["n"])).otherwise(F.rpad(F.substr("seq", o["q"] + 1, o["n"]), o["n"], F.lit(" ")))
-    rows = records.select("rname", "flag", F.explode(F.transform(ops, lambda o: F.struct((o["op"] == "I").alias("ins"), o["r"].alias("r"), piece(o).alias("bases")))).alias("o"))
-    rows = rows.select("rname", "flag", "o.ins", "o.r", F.posexplode(F.split("o.bases", "")).alias("i", "b"))
-    rows = rows.select("rname", "flag", "b", F.when(F.col("ins"), F.col("r") - 1).otherwise(F.col("r") + F.col("i")).alias("major"), F.when(F.col("ins"), F.col("i") + 1).otherwise(0).alias("minor"))
-    back = F.col("flag").bitwiseAND(F.lit(16)) != 0
-    count = lambda b, rev: F.count_if((F.col("b") == b) & (back if rev else ~back))
-    cols = [count(b, rev).alias((b if b != "-" else "del").lower() + ("_rev" if rev else "_fwd")) for b in [*BASES, "-"] for rev in (False, True)]
-    counts = rows.groupBy("rname", "major", "minor").agg(*cols, F.count("*").alias("n"))
-    deep = F.first(F.when(F.col("minor") == 0, F.col("n")), ignorenulls=True).over(Window.partitionBy("rname", "major"))
-    return counts.withColumn("depth", F.coalesce(deep, F.col("n"))).drop("n")
+from readloom.operators.piles import pileup_counts
 
 
 def normalised_counts(counts: DataFrame, by_strand: bool = False) -> DataFrame:

@@ -1,12 +1,16 @@
 """Column functions on fixed inputs, kits and pile-ups."""
 
+import random
+import re
 import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar, numeric, seq
-from readloom.operators import intervals, reads, variants
+from readloom.operators import intervals, piles, reads, variants
 from readloom.sources import kits
 
 
@@ -89,3 +93,53 @@ def test_pileup_and_intervals(spark):
     assert sorted(tuple(x) for x in intervals.complement(reg, cov, ["k"]).collect()) == [("c", 0, 2), ("c", 6, 9), ("d", 0, 5)]
     rows = spark.createDataFrame([(1, 20, 0.9, None, "a"), (2, 20, 0.9, 1, "b"), (3, 20, 0.9, 1, "a"), (4, 0, 0.9, 1, "a")], "id int, mapq int, snp_accuracy double, hp int, rg_id string").withColumn("flag", F.lit(0))
     assert [x.id for x in reads.pileup_filter(rows, 1, 0.5, "hp", 1, True, "a").orderBy("id").collect()] == [1, 3]
+
+
+def plain_piles(rows):
+    want = {}
+    for rname, flag, pos, text, bases in rows:
+        q, r = 0, pos
+        for n, op in re.findall("([0-9]+)([MIDNSHP=X])", text or ""):
+            for i in range(int(n)):
+                b = "-" if op == "D" else (bases or "")[q + i : q + i + 1]
+                if op in "MID=X" and (op == "D" or bases is not None):
+                    at = (rname, None if r is None else r - 1 if op == "I" else r + i, i + 1 if op == "I" else 0)
+                    cell = want.setdefault(at, Counter())
+                    cell["n"] += 1
+                    if b and b in "ACGT-" and flag is not None:
+                        cell[("del" if b == "-" else b.lower()) + ("_rev" if flag & 16 else "_fwd")] += 1
+            q += int(n) * (op in "MIS=X")
+            r = None if r is None else r + int(n) * (op in "MDN=X")
+    return {(*k, x, v) for k, c in want.items() for x, v in c.items() if x != "n"}, {(*k, want.get((*k[:2], 0), c)["n"]) for k, c in want.items()}
+
+
+def test_pileup_counts_of_odd_records(spark, monkeypatch):
+    """Deep columns, bin borders, long insertions, odd texts, nulls; small arrays so that bins stay open over many."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["c1", "c2", "é"]), rng.choice([0, 16]), rng.randrange(990, 1030), f"{rng.randrange(1, 9)}S{rng.randrange(0, 40)}M{rng.randrange(1, 4)}I3000N5D7=4X2H", "".join(rng.choice("ACGTN") for _ in range(60))) for _ in range(300)]
+    rows += [("c1", 0, 0, "2I3M", "ACGTA"), ("c1", 0, 5, "700I1M", "ACGT" * 200), ("c1", 16, 1000, "3000D0M", ""), ("c1", 0, 7, "*", "ACG"), ("c1", 0, 7, "4M?x2M3", "AéGTACG"), ("c1", 0, 7, None, "A"), ("c1", 0, 7, "3M1D", None)]
+    rows += [(None, 0, 7, "3M", "ACG"), ("c1", None, 7, "3M", "ACG"), ("c2", 0, None, "3M2I", "ACGTT"), ("c1", 0, 2**40, "3M", "AC")]
+    rows += [("deep", 0, 1022, "4M", "ACGT")] * 700
+    df = spark.createDataFrame(rows, "rname string, flag int, pos long, cigar string, seq string").repartition(3)
+    cells, depths = plain_piles(rows)
+    got = variants.pileup_counts(df).collect()
+    assert len({(x.rname, x.major, x.minor) for x in got}) == len(got)
+    assert {(x.rname, x.major, x.minor, c, x[c]) for x in got for c in piles.COUNTS if x[c]} == cells
+    assert {(x.rname, x.major, x.minor, x.depth) for x in got} == depths
+    assert variants.pileup_counts(df.limit(0)).count() == 0
+    # The same in slices of a few bases, without Spark, rows sorted by bin.
+    monkeypatch.setattr(piles, "WORK", 50)
+    table = pa.table({n: pa.array(c, k) for n, c, k in zip(("rname", "flag", "pos", "cigar", "seq"), zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)})
+    parts = pa.Table.from_batches(list(piles._count(iter(table.to_batches(max_chunksize=100)))))
+    parts = parts.sort_by([("rname", "ascending"), ("bin", "ascending")])
+    got = [x for b in piles._sum(iter(parts.to_batches(max_chunksize=7))) for x in b.to_pylist()]
+    assert {(x["rname"], x["major"], x["minor"], c, x[c]) for x in got for c in piles.COUNTS if x[c]} == cells
+    assert {(x["rname"], x["major"], x["minor"], x["depth"]) for x in got} == depths
+
+
+def test_pileup_sends_bins_not_bases(spark):
+    """Records that share their columns leave a task as a few rows, and one exchange is all."""
+    df = spark.range(5000).selectExpr("'c' as rname", "0 as flag", "id % 7 as pos", "'100M' as cigar", "repeat('ACGT', 25) as seq")
+    counts = variants.pileup_counts(df)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sum(x.depth for x in counts.collect()) == 500000
