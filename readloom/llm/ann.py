@@ -14,7 +14,9 @@ those of the original vectors in double precision, from products of vectors that
 are first moved to their group's middle; results are measured by differences.
 
 Search keeps the ``ef`` best nodes of each query, and hop by hop opens the best
-``width`` not yet opened, until none is left. A query starts at its own node.
+``width`` not yet opened, until none is left. A query starts at its own node. The driver
+keeps a plan for each hop: hops are few and wide, and what a query has seen is one scan and
+one join however many hops there were.
 
 Lists and beams are bounded by parameters, so no group that a task holds grows
 with the data; reverse lists are cut to their nearest where they are made, a batch
@@ -37,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import release, whole_groups, written
+from readloom.llm.common import release, together, whole_groups, written
 
 DEGREE, REVERSE = 32, 32
 TREES, TREE_LINKS, CHUNK, TREE_BITS = 4, 16, 1024, 6
 SETTLED = 0.02  # NN-descent ends below this share of changed links
-EF, WIDTH = 64, 8
+EF, WIDTH = 64, 32
 _CELLS = 1 << 20  # numbers that a step by differences holds
 
 _LIST = "u long, b long, ids binary, ds binary, state binary"
@@ -279,6 +281,12 @@ def _local_join(degree: int, dtype):
     return run
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Never by broadcast: tables of node numbers compress so well that a file below Spark's
+    threshold may be hundreds of MB in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _by_node(rows: DataFrame) -> DataFrame:
     return rows.repartition("u").sortWithinPartitions("u")
 
@@ -298,8 +306,8 @@ def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int =
         hoods = written(_neighbourhoods(lists, degree, reverse), "hoods")
         active = hoods.filter(F.exists("fresh", lambda x: x))
         need = active.select("b", F.explode("members").alias("node")).distinct()
-        ends = classes.join(hoods.select(F.col("u").alias("node"), "far"), "node")
-        vectors = need.join(ends, "node").select("b", F.col("node").alias("u"), F.col("v").alias("x"), "far", F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"))
+        ends = _joined(classes, hoods.select(F.col("u").alias("node"), "far"), "node")
+        vectors = _joined(need, ends, "node").select("b", F.col("node").alias("u"), F.col("v").alias("x"), "far", F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"))
         joins = active.select("b", "u", F.lit(None).cast("binary").alias("x"), F.lit(None).cast("double").alias("far"), "members", "fresh")
         meet = vectors.union(joins).withColumn("last", F.col("x").isNull()).repartition("b").sortWithinPartitions("b", "last").drop("last")
         found = meet.mapInArrow(_local_join(degree, dtype), _LIST)
@@ -344,24 +352,25 @@ def search(classes: DataFrame, lists: DataFrame, queries: DataFrame, dtype, k: i
     """(query, node, score): for each query node its k nearest nodes found, itself included."""
     ef = max(ef, k)
     graph = written(_neighbourhoods(lists, degree, reverse).select("u", "members"), "graph")
-    beam = queries.select(F.col("node").alias("query")).join(classes.withColumnRenamed("node", "query"), "query")
+    beam = _joined(queries.select(F.col("node").alias("query")), classes.withColumnRenamed("node", "query"), "query")
     first = F.array("query")
     beam = written(beam.select("query", F.col("v").alias("x"), first.alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(True)).alias("opened"), first.alias("turn")), "beam")
-    seen = [beam.select("query", F.col("query").alias("node"))]
+    seen = [written(beam.select("query", F.col("query").alias("node")), "near")]
     while True:
         turn = beam.select("query", F.explode("turn").alias("u"))
-        near = turn.join(graph, "u").select("query", F.explode("members").alias("node")).distinct()
-        for s in seen:
-            near = near.join(s, ["query", "node"], "left_anti")
-        near = written(near, "near")
+        near = _joined(turn, graph, "u").select("query", F.explode("members").alias("node")).distinct()
+        near = written(_joined(near, together(*seen), ["query", "node"], "left_anti"), "near")
         seen.append(near)
         none = lambda kind: F.lit(None).cast(kind)
-        cands = near.join(classes, "node").select("query", "node", "v", none("binary").alias("x"), none("array<long>").alias("ids"), none("array<double>").alias("ds"), none("array<boolean>").alias("opened"))
+        cands = _joined(near, classes, "node").select("query", "node", "v", none("binary").alias("x"), none("array<long>").alias("ids"), none("array<double>").alias("ds"), none("array<boolean>").alias("opened"))
         rows = cands.union(beam.select("query", none("long"), none("binary"), "x", "ids", "ds", "opened"))
         rows = rows.repartition("query").sortWithinPartitions("query")
-        beam = written(rows.mapInArrow(_beams(ef, width, dtype), "query long, x binary, ids array<long>, ds array<double>, opened array<boolean>, turn array<long>"), "beam")
+        after = written(rows.mapInArrow(_beams(ef, width, dtype), "query long, x binary, ids array<long>, ds array<double>, opened array<boolean>, turn array<long>"), "beam")
+        release(beam)
+        beam = after
         if beam.filter(F.size("turn") > 0).isEmpty():
             break
+    release(graph, *seen)
     pairs = beam.select("query", F.explode(F.slice(F.arrays_zip("ids", "ds"), 1, k)).alias("c"))
     return pairs.select("query", F.col("c.ids").alias("node"), F.sqrt("c.ds").alias("score"))
 
@@ -374,18 +383,19 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     key = ["h1", "h2"]
     keyed = rows.select("id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"), "v")
     firsts = keyed.groupBy(*key).agg(F.min("id").alias("id"))
-    one = keyed.join(firsts, [*key, "id"]).dropDuplicates([*key, "id"])
+    one = _joined(keyed, firsts, [*key, "id"]).dropDuplicates([*key, "id"])
     one = one.select("id", *key, "v").mapInArrow(_pack(dtype), "id long, h1 long, h2 long, v binary")
     classes = written(one.select(F.monotonically_increasing_id().alias("node"), *key, "v"), "classes")
-    members = written(keyed.select("id", *key).distinct().join(classes.select("node", *key), key).select("id", "node"), "members")
+    members = written(_joined(keyed.select("id", *key).distinct(), classes.select("node", *key), key).select("id", "node"), "members")
     classes = classes.select("node", "v")
     lists = build_graph(classes, dtype)
     asked = members.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("node").alias("query"))
     found = search(classes, lists, asked.select(F.col("query").alias("node")).distinct(), dtype, k + 1, **search_options)
+    release(lists)
     # Of each class the k + 1 smallest ids are enough.
     few = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node", "s").orderBy("id"))).filter(F.col("r") <= k + 1).drop("s", "r")
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("r") <= k + 1).select("node", F.col("id").alias("vec_id"))
-    out = found.join(asked, "query").join(few, "node").filter((F.col("vec_id") != F.col("query_id")) | (F.col("node") != F.col("query")))
+    out = _joined(_joined(found, asked, "query"), few, "node").filter((F.col("vec_id") != F.col("query_id")) | (F.col("node") != F.col("query")))
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id", "node"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

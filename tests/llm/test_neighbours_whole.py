@@ -35,3 +35,21 @@ def test_clump_of_close_vectors(spark):
     found = recall(spark, x, 100)
     print("recall with a clump", found)
     assert found >= 0.9
+
+
+def test_plans_of_hops_do_not_grow(spark, monkeypatch):
+    """What a query has seen is one join in each hop, and hops are few: the driver holds their plans."""
+    plans, write = [], ann.written
+
+    def noted(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(ann, "written", noted)
+    x = np.random.default_rng(3).standard_normal((3000, 16)).astype(np.float32)
+    assert recall(spark, x, 100) >= 0.9
+    assert not any("Broadcast" in p for _, p in plans)
+    near = [p for name, p in plans if name == "near"]
+    assert 3 <= len(near) <= 8
+    assert max(p.count("LeftAnti") for p in near) == 1
+    assert len(near[-1]) < 1.2 * len(near[1])
