@@ -14,13 +14,13 @@ A document's score is the mean over its tokens of the target loss less the
 background loss, in nats: low is close to the target.
 
 Counts are exact, by 64-bit hashes of words and contexts, and grow with the corpus.
-One shuffle brings all occurrences of a word together, sorted by context, where sums
-over groups (which spill) give pair, word and context counts at once; the losses go
-back summed by document. The ``heavy`` most frequent words are known to every task:
-pairs of two of them are counted in arrays of fixed size and never shuffled, pairs
-of one of them are dealt by the pair. So no key has more rows than the next most
-frequent word, 1 / ``heavy`` of all at most. Words are dealt into ``parts`` parts, one
-after the other, which bounds the disk of the shuffle.
+One shuffle brings all occurrences of a word together, as packed arrays of about
+``BUCKET`` pairs, where sums over groups give pair, word and context counts at once;
+the losses go back summed by document, packed too. The ``heavy`` most frequent words are
+known to every task: pairs of two of them are counted in arrays of fixed size and never
+shuffled, pairs of one of them are dealt by the pair. So no key has more rows than the next
+most frequent word, 1 / ``heavy`` of all at most; a task holds one bucket with it. Words are
+dealt into ``parts`` parts, one after the other, which bounds the disk of the shuffle.
 
 Defined cases: texts without words (null and empty ones) have 0 tokens and null
 losses; a document counts as target once however many target rows name it, null ids
@@ -36,16 +36,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import hashing as H
-from readloom.llm.common import release, written
+from readloom.llm.common import release, whole_groups, written
 
 PRIOR = 50.0  # tokens of evidence that the shared unigram model stands for
 HEAVY = 512
-PARTS = 4
-_HOLD = 1 << 20  # words that a task aggregates before it sends counts
+PARTS = 2
+BUCKET = 1 << 19  # pairs that are brought together at once
+_HOLD = 1 << 20  # words, pairs or documents that a task gathers before it sends them
 
 
 class Corpus(NamedTuple):
@@ -190,13 +191,46 @@ def _near(corpus: Corpus):
     return run
 
 
-def _far(corpus: Corpus, part: int, parts: int):
-    """Distinct pairs of each text that are not of two heavy words: g (word, or pair if
-    the word is heavy), c (context: a heavy one's number; 0 if g says it), k (number of
-    the row), n (times, negative in the background), a (times that the word is a
-    context, at one row of each word), hw (occurrences of the word if it is heavy, else 0)."""
+_CELL = "b int, heavy boolean, g binary, c binary, n binary, a binary, k binary, hit binary, run binary"
+_SUMS = "b int, k binary, lt binary, lb binary"
+
+
+def _cells(bucket: np.ndarray, cols: list[np.ndarray], order: np.ndarray | None = None) -> tuple[np.ndarray, list[pa.Array]]:
+    """The buckets that occur, and of each column the packed values of each bucket."""
+    order = np.argsort(bucket, kind="stable") if order is None else order
+    at = bucket[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    bounds, out = np.append(first, len(at)), []
+    for x in cols:
+        raw = np.ascontiguousarray(x[order])
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw)]))
+    return at[first], out
+
+
+def _far(corpus: Corpus, part: int, parts: int, buckets: int):
+    """Distinct pairs of each text that are not of two heavy words, packed by bucket; rows of
+    heavy words apart. g: word, or pair if the word is heavy; c: context, or the heavy word's
+    number; n: times; a: times that a light word is a context, at one row of each word; k,
+    hit, run: numbers of the rows, their sides and how many pairs are theirs, one after the other."""
+
+    def rows(held: list[tuple], heavy: bool) -> pa.RecordBatch:
+        g, c, n, a, k, hit = [np.concatenate(x) for x in zip(*held, strict=True)]
+        bucket = (H.mix(g + H._P) % H.U64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        at, cells = _cells(bucket, [g, c, n] if heavy else [g, c, n, a], order)
+        if heavy:
+            cells.append(pa.array([b""] * len(at), pa.binary()))
+        new = np.ones(len(g), bool)
+        new[1:] = (bucket[order][1:] != bucket[order][:-1]) | (k[order][1:] != k[order][:-1])
+        first = np.flatnonzero(new)
+        run = np.diff(np.append(first, len(g))).astype(np.uint32)
+        row = order[first]
+        _, who = _cells(bucket[row], [k[row], hit[row], run], np.arange(len(row)))
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), heavy)), *cells, *who], names=["b", "heavy", "g", "c", "n", "a", "k", "hit", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = [0, 0]
         for b in batches:
             hit, key = _hits(b.column(1)), b.column(2).to_numpy()
             for w in H.steps(b.column(0), lower=True):
@@ -210,21 +244,103 @@ def _far(corpus: Corpus, part: int, parts: int):
                 pair = H.mix(s.before[pick] * H._Q + s.h[pick])
                 at, times, inverse = _distinct(s.text[pick], pair)
                 row = pick[at]
-                used = np.zeros(len(row), np.int64)
+                used = np.zeros(len(row), np.uint32)
                 light = np.flatnonzero(~heavy[pick])
                 first, _, word = _distinct(s.text[pick[light]], s.h[pick[light]])
-                used[inverse[light[first]]] = np.bincount(word, s.followed[pick[light]], len(first)).astype(np.int64)
-                g = np.where(heavy[row], pair[at], s.h[row])
-                ctx = np.where(heavy[row], H.U64(0), np.where(c[row] >= 0, (c[row] + 1).astype(H.U64), s.before[row]))
+                used[inverse[light[first]]] = np.bincount(word, s.followed[pick[light]], len(first)).astype(np.uint32)
+                # In the order of the texts, so that a row's number is sent once a bucket.
+                back = np.argsort(row)
+                row, at, times, used = row[back], at[back], times[back].astype(np.uint32), used[back]
                 text = w.lo + s.text[row]
-                total = np.where(heavy[row], corpus.total[j[row]] if len(corpus.total) else 0, 0)
-                cols = [H.signed(g), H.signed(ctx), key[text], np.where(hit[text], times, -times).astype(np.int32), used.astype(np.int32), total.astype(np.int64)]
-                for lo in range(0, len(row), 1 << 16):
-                    yield pa.record_batch([pa.array(x[lo : lo + (1 << 16)]) for x in cols], ["g", "c", "k", "n", "a", "hw"])
+                ctx = np.where(c[row] >= 0, (c[row] + 1).astype(H.U64), s.before[row])
+                for kind, of in enumerate((~heavy[row], heavy[row])):
+                    if of.any():
+                        names = (pair[at[of]], j[row[of]].astype(np.uint32), times[of], used[:0]) if kind else (s.h[row[of]], ctx[of], times[of], used[of])
+                        held[kind].append((*names, key[text[of]], hit[text[of]]))
+                        size[kind] += int(of.sum())
+                    if size[kind] > _HOLD:
+                        yield rows(held[kind], bool(kind))
+                        held[kind].clear()
+                        size[kind] = 0
+        for kind in range(2):
+            if held[kind]:
+                yield rows(held[kind], bool(kind))
 
     return run
 
 
+def _numbers(col: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(col), kind)
+
+
+def _bucket_losses(corpus: Corpus, buckets: int):
+    """Losses of each bucket (rows sorted by b and heavy), summed by row number and packed again."""
+
+    def one(heavy: bool, cells: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kinds = (H.U64, np.uint32 if heavy else H.U64, np.uint32, np.uint32, np.int64, np.bool_, np.uint32)
+        g, c, n, a, k, hit, run = [_numbers(x, kind) for x, kind in zip(cells, kinds, strict=True)]
+        mine = np.repeat(hit, run)
+        word, w = np.unique(g, return_inverse=True)
+        if heavy:
+            pair, q = w, corpus.total[c] + 1.0
+        else:
+            # Contexts are told apart among the rows of a word only.
+            pair = np.unique(H.mix(c * H._Q + H.mix(g)), return_inverse=True)[1]
+            q = np.bincount(w, n)[w] + 1
+        q *= corpus.prior / corpus.mass
+        owner, loss = np.repeat(np.arange(len(k)), run), []
+        for scale, own in zip(corpus.scale, (mine, ~mine), strict=True):
+            times = n * own
+            term = n * np.log(scale * (np.bincount(pair, times)[pair] - times) + q)
+            if not heavy:
+                used = a * own
+                term -= a * np.log(scale * (np.bincount(w, used)[w] - used) + corpus.prior)
+            loss.append(np.bincount(owner, -term, len(k)))
+        return k, *loss
+
+    def summed(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return k, *[np.bincount(at, np.concatenate([x[i] for x in held]), len(k)) for i in (1, 2)]
+
+    def packed(k: np.ndarray, lt: np.ndarray, lb: np.ndarray) -> pa.RecordBatch:
+        b, cells = _cells((H.mix(k.view(H.U64)) % H.U64(buckets)).astype(np.int32), [k, lt, lb])
+        return pa.RecordBatch.from_arrays([pa.array(b), *cells], names=["b", "k", "lt", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, cells = [], None, []
+        for b in batches:
+            for i in range(len(b)):
+                key = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if key != at and cells:
+                    held.append(one(at[1], list(zip(*cells, strict=True))))
+                    cells = []
+                    if sum(len(x[0]) for x in held) > _HOLD:
+                        held = [summed(held)]
+                        if len(held[0][0]) > _HOLD // 2:
+                            yield packed(*held[0])
+                            held = []
+                at = key
+                cells.append([b.column(j)[i].as_py() for j in range(2, 9)])
+        if cells:
+            held.append(one(at[1], list(zip(*cells, strict=True))))
+        if held:
+            yield packed(*summed(held))
+        H.tidy()
+
+    return run
+
+
+def _sum_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by row number (rows sorted by b)."""
+    for b in whole_groups(batches):
+        at = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            k, lt, lb = [_numbers(b.column(i).slice(lo, hi - lo).to_pylist(), kind) for i, kind in ((1, np.int64), (2, float), (3, float))]
+            names, place = np.unique(k, return_inverse=True)
+            yield pa.record_batch([pa.array(names), *[pa.array(np.bincount(place, x, len(names))) for x in (lt, lb)]], ["k", "lt", "lb"])
+
+
 def _read_corpus(rows: DataFrame, heavy: int, prior: float) -> Corpus:
     words = written(rows.select("text", "hit").mapInArrow(_count_words, "w long, t long, b long, ta long, ba long").groupBy("w").agg(*[F.sum(x).alias(x) for x in ("t", "b", "ta", "ba")]), "words")
     size, t, b = words.filter("w != 0").agg(F.count("*"), F.sum("t"), F.sum("b")).first()
@@ -244,23 +360,15 @@ def _read_corpus(rows: DataFrame, heavy: int, prior: float) -> Corpus:
     return Corpus(hashes, table[:, :2].sum(1), after, pairs, tuple(least / x if x else 0.0 for x in sides), float(sum(sides) + size + 1), prior)
 
 
-def _losses(rows: DataFrame, corpus: Corpus, part: int, parts: int) -> DataFrame:
+def _losses(rows: DataFrame, corpus: Corpus, part: int, parts: int, bucket: int) -> DataFrame:
     """(k, lt, lb) by row, over the pairs of one part."""
-    pairs = rows.select("text", "hit", "k").mapInArrow(_far(corpus, part, parts), "g long, c long, k long, n int, a int, hw long").repartition("g")
-    by_pair, by_word = Window.partitionBy("g", "c"), Window.partitionBy("g")
-    mine = {"t": F.greatest("n", F.lit(0)), "b": F.greatest(-F.col("n"), F.lit(0))}
-    pairs = pairs.withColumns({f"p{x}": F.sum(v).over(by_pair) for x, v in mine.items()})
-    pairs = pairs.withColumns({f"c{x}": F.sum(F.when(v > 0, F.col("a"))).over(by_word) for x, v in mine.items()} | {"w": F.sum(F.abs("n")).over(by_word)})
-    q = (F.when(F.col("hw") > 0, F.col("hw")).otherwise(F.col("w")) + 1) * (corpus.prior / corpus.mass)
-    loss = {}
-    for x, scale in zip("tb", corpus.scale, strict=True):
-        top = F.log(scale * (F.col(f"p{x}") - mine[x]) + q)
-        low = F.log(scale * (F.coalesce(f"c{x}", F.lit(0)) - F.when(mine[x] > 0, F.col("a")).otherwise(0)) + corpus.prior)
-        loss[x] = F.col("a") * low - F.abs("n") * top
-    return pairs.groupBy("k").agg(*[F.sum(v).alias(f"l{x}") for x, v in loss.items()])
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, heavy: int = HEAVY, parts: int = PARTS) -> DataFrame:
+    buckets = int(corpus.mass) // (parts * bucket) + 1
+    pairs = rows.select("text", "hit", "k").mapInArrow(_far(corpus, part, parts, buckets), _CELL).repartition("b").sortWithinPartitions("b", "heavy")
+    sums = pairs.mapInArrow(_bucket_losses(corpus, buckets), _SUMS).repartition("b").sortWithinPartitions("b")
+    return sums.mapInArrow(_sum_losses, "k long, lt double, lb double")
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, heavy: int = HEAVY, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score), a row for each document.
 
     ``targets`` has the ids of target documents in its column ``id_col``.
@@ -271,7 +379,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     rows = rows.join(named.hint("merge"), rows["id"] == named["tid"], "left").select("id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
     rows = written(rows.withColumn("k", F.monotonically_increasing_id()), "sides")
     corpus = _read_corpus(rows, heavy, prior)
-    far = [written(_losses(rows, corpus, part, parts), "losses") for part in range(parts)]
+    far = [written(_losses(rows, corpus, part, parts, bucket), "losses") for part in range(parts)]
     far = reduce(DataFrame.unionByName, far).groupBy(F.col("k").alias("fk")).agg(F.sum("lt").alias("ft"), F.sum("lb").alias("fb"))
     near = rows.select("text", "hit", "id", "k").mapInArrow(_near(corpus), f"id {rows.schema['id'].dataType.simpleString()}, k long, n_tokens long, lt double, lb double")
     out = near.join(far, near["k"] == far["fk"], "left")

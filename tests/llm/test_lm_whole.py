@@ -86,3 +86,26 @@ def test_score_does_not_follow_the_size_of_the_background(spark):
     assert mean(out, lambda i: 1010 <= i) < mean(out, lambda i: 10 <= i < 1000)
     alike = lm_score.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in range(20)], "doc_id long")).collect()
     assert abs(mean(alike, lambda i: True)) < 0.15
+
+
+def test_pairs_move_packed_by_bucket(spark, monkeypatch):
+    """Pairs are shuffled as arrays, not one by one, and no group is sorted or windowed row by row."""
+    plans, write = [], lm_score.written
+
+    def noted(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(lm_score, "written", noted)
+    docs, hit = corpus(7), {*range(60)}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i in hit], "doc_id long")
+    got = lm_score.cross_entropy_difference(df, targets, heavy=30, bucket=500).collect()
+    key = lambda x: (str(x[0]), x[1], round(x[2] or 0, 6))
+    want = sorted([(i, *x) for (i, _), x in zip(docs, by_hand(docs, hit, lm_score.PRIOR), strict=True)], key=key)
+    for g, w in zip(sorted(got, key=key), want, strict=True):
+        assert g[:2] == w[:2]
+        assert w[2] is None or math.isclose(g[2], w[2], rel_tol=1e-9) and math.isclose(g[3], w[3], rel_tol=1e-9)
+    losses = [p for name, p in plans if name == "losses"]
+    assert len(losses) == lm_score.PARTS == 2
+    assert not any("Window" in p or "Aggregate" in p for p in losses)
