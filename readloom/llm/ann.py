@@ -14,7 +14,7 @@ those of the original vectors in double precision, from products of vectors that
 are first moved to their group's middle; results are measured by differences.
 
 Search keeps the ``ef`` best nodes of each query, and hop by hop opens the best
-``width`` not yet opened, until none is left. A query starts at its own node. The driver
+``width`` not yet opened, until none is left. A query starts at its own list. The driver
 keeps a plan for each hop: hops are few and wide, and what a query has seen is one scan and
 one join however many hops there were.
 
@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from readloom.llm.common import release, together, whole_groups, written
 
 DEGREE, REVERSE = 32, 32
-TREES, TREE_LINKS, CHUNK, TREE_BITS = 4, 16, 1024, 6
+TREES, TREE_LINKS, CHUNK, TREE_BITS = 6, 24, 2048, 6
 SETTLED = 0.02  # NN-descent ends below this share of changed links
-EF, WIDTH = 64, 32
+EF, WIDTH = 40, 40
 _CELLS = 1 << 20  # numbers that a step by differences holds
 
 _LIST = "u long, b long, ids binary, ds binary, state binary"
@@ -305,7 +305,8 @@ def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int =
     while True:
         hoods = written(_neighbourhoods(lists, degree, reverse), "hoods")
         active = hoods.filter(F.exists("fresh", lambda x: x))
-        need = active.select("b", F.explode("members").alias("node")).distinct()
+        # Dealt by node before they are made distinct, which spares an exchange.
+        need = active.select("b", F.explode("members").alias("node")).repartition("node").distinct()
         ends = _joined(classes, hoods.select(F.col("u").alias("node"), "far"), "node")
         vectors = _joined(need, ends, "node").select("b", F.col("node").alias("u"), F.col("v").alias("x"), "far", F.lit(None).cast("array<long>").alias("members"), F.lit(None).cast("array<boolean>").alias("fresh"))
         joins = active.select("b", "u", F.lit(None).cast("binary").alias("x"), F.lit(None).cast("double").alias("far"), "members", "fresh")
@@ -320,6 +321,26 @@ def build_graph(classes: DataFrame, dtype, degree: int = DEGREE, reverse: int =
             return lists
 
 
+_BEAM = ["query", "x", "ids", "ds", "opened", "turn"]
+_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
+
+def _starts(width: int):
+    """Columns query, x, near, far (the query's list, packed): the first beam, its own node before its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for query, x, near, far in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                ids, ds = [query, *np.frombuffer(near, np.int64).tolist()], [0.0, *np.frombuffer(far, np.float64).tolist()]
+                turn = ids[:width]
+                out.append((query, x, ids, ds, [i < len(turn) for i in range(len(ids))], turn))
+            cols = list(zip(*out, strict=True)) or [()] * len(_BEAM)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_BEAM)
+
+    return run
+
+
 def _beams(ef: int, width: int, dtype):
     """Columns query, node, v (a candidate); x, ids, ds, opened (the beam, on the row without a node)."""
 
@@ -342,8 +363,7 @@ def _beams(ef: int, width: int, dtype):
                     opened[i] = True
                 out.append((part.column(0)[0].as_py(), x, [ids[i] for i in best], [ds[i] for i in best], [opened[i] for i in best], [ids[i] for i in turn]))
             cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["query", "x", "ids", "ds", "opened", "turn"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_BEAM)
 
     return run
 
@@ -353,9 +373,10 @@ def search(classes: DataFrame, lists: DataFrame, queries: DataFrame, dtype, k: i
     ef = max(ef, k)
     graph = written(_neighbourhoods(lists, degree, reverse).select("u", "members"), "graph")
     beam = _joined(queries.select(F.col("node").alias("query")), classes.withColumnRenamed("node", "query"), "query")
-    first = F.array("query")
-    beam = written(beam.select("query", F.col("v").alias("x"), first.alias("ids"), F.array(F.lit(0.0)).alias("ds"), F.array(F.lit(True)).alias("opened"), first.alias("turn")), "beam")
-    seen = [written(beam.select("query", F.col("query").alias("node")), "near")]
+    starts = _joined(_joined(queries.select(F.col("node").alias("query")), classes.withColumnRenamed("node", "query"), "query"), lists.withColumnRenamed("u", "query"), "query")
+    kinds = "query long, x binary, ids array<long>, ds array<double>, opened array<boolean>, turn array<long>"
+    beam = written(starts.select("query", F.col("v").alias("x"), F.col("ids").alias("near"), F.col("ds").alias("far")).mapInArrow(_starts(width), kinds), "beam")
+    seen = [written(beam.select("query", F.explode("ids").alias("node")), "near")]
     while True:
         turn = beam.select("query", F.explode("turn").alias("u"))
         near = _joined(turn, graph, "u").select("query", F.explode("members").alias("node")).distinct()
@@ -365,7 +386,7 @@ def search(classes: DataFrame, lists: DataFrame, queries: DataFrame, dtype, k: i
         cands = _joined(near, classes, "node").select("query", "node", "v", none("binary").alias("x"), none("array<long>").alias("ids"), none("array<double>").alias("ds"), none("array<boolean>").alias("opened"))
         rows = cands.union(beam.select("query", none("long"), none("binary"), "x", "ids", "ds", "opened"))
         rows = rows.repartition("query").sortWithinPartitions("query")
-        after = written(rows.mapInArrow(_beams(ef, width, dtype), "query long, x binary, ids array<long>, ds array<double>, opened array<boolean>, turn array<long>"), "beam")
+        after = written(rows.mapInArrow(_beams(ef, width, dtype), kinds), "beam")
         release(beam)
         beam = after
         if beam.filter(F.size("turn") > 0).isEmpty():
@@ -382,8 +403,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
     dtype = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     key = ["h1", "h2"]
     keyed = rows.select("id", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2"), "v")
-    firsts = keyed.groupBy(*key).agg(F.min("id").alias("id"))
-    one = _joined(keyed, firsts, [*key, "id"]).dropDuplicates([*key, "id"])
+    one = keyed.groupBy(*key).agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
     one = one.select("id", *key, "v").mapInArrow(_pack(dtype), "id long, h1 long, h2 long, v binary")
     classes = written(one.select(F.monotonically_increasing_id().alias("node"), *key, "v"), "classes")
     members = written(_joined(keyed.select("id", *key).distinct(), classes.select("node", *key), key).select("id", "node"), "members")

@@ -53,3 +53,24 @@ def test_plans_of_hops_do_not_grow(spark, monkeypatch):
     assert 3 <= len(near) <= 8
     assert max(p.count("LeftAnti") for p in near) == 1
     assert len(near[-1]) < 1.2 * len(near[1])
+
+
+def test_stages_are_few(spark, monkeypatch):
+    """Classes take no join, a round deals what it needs once, and a search starts at the query's list."""
+    plans, starts, write = [], [], ann.written
+
+    def noted(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        out = write(df, name)
+        if name == "near" and not starts:
+            starts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "written", noted)
+    x = np.random.default_rng(4).standard_normal((1000, 16)).astype(np.float32)
+    assert recall(spark, x, 100) >= 0.9
+    assert "Join" not in next(p for name, p in plans if name == "classes")
+    rounds = [p for name, p in plans if name == "graph" and "Join" in p]
+    assert rounds and all(p.split("== Initial Plan ==")[-1].count("Exchange") == 5 for p in rounds)
+    assert starts[0] == 10 * (ann.DEGREE + 1)
+    assert sum(name == "near" for name, _ in plans) <= 6
